@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +17,26 @@ from pyspark.sql import functions as F
 ROWS_OUT = 2048
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, unless they find it on their path as it is."""
+    package = Path(__file__).resolve().parents[1]
+    root, context = str(package.parent), spark.sparkContext
+    if root in [os.path.abspath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":"))]:
+        return
+    if getattr(context, "_loomwright_sent", False):
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        archive = os.path.join(folder, f"{package.name}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(archive)  # Spark takes a copy and serves it to the executors
+    context._loomwright_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; only Spark's readers touch the path."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -82,3 +104,11 @@ def map_rows(
                 )
 
     return df.mapInArrow(run, schema)
+
+
+def settled(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, which it does when the driver's garbage goes."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, quality, simhash, toxicity, urlfilter
+from . import decontaminate, language, mixing, quality, simhash, suffixarray, toxicity, urlfilter
 from ._common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_url_filter": lambda spark, d: urlfilter.op5(table(spark, d, "pages")),
     "op6_language": lambda spark, d: language.op6(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.op7(table(spark, d, "documents")),
+    "op8_suffix_array": lambda spark, d: suffixarray.op8(table(spark, d, "documents")),
     "op9_simhash": lambda spark, d: simhash.op9(table(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity.op10(table(spark, d, "documents"), table(spark, d, "labels")),
 }
