@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -25,12 +27,13 @@ def ship(spark: SparkSession) -> None:
         return
     if getattr(context, "_loomwright_sent", False):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        archive = os.path.join(folder, f"{package.name}.zip")
-        with zipfile.ZipFile(archive, "w") as out:
-            for file in sorted(package.rglob("*.py")):
-                out.write(file, file.relative_to(package.parent))
-        context.addPyFile(archive)  # Spark takes a copy and serves it to the executors
+    folder = tempfile.mkdtemp(prefix="loomwright-")  # the driver's; Spark serves the file to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    archive = os.path.join(folder, f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
     context._loomwright_sent = True
 
 
