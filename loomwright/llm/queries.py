@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, quality, simhash, suffixarray, toxicity, urlfilter
+from . import decontaminate, language, mixing, quality, simhash, spotsigs, suffixarray, toxicity, urlfilter
 from ._common import table
 
 QUERIES = {
     "op1_quality": lambda spark, d: quality.op1(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op3_spotsigs": lambda spark, d: spotsigs.op3(table(spark, d, "documents")),
     "op4_decontaminate": lambda spark, d: decontaminate.op4(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op5_url_filter": lambda spark, d: urlfilter.op5(table(spark, d, "pages")),
     "op6_language": lambda spark, d: language.op6(table(spark, d, "documents")),
