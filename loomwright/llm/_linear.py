@@ -49,22 +49,39 @@ class Presence:
 
 
 class Rows:
-    """Sparse 0/1 (or weighted) rows, laid end to end."""
+    """Sparse 0/1 (or weighted) rows, laid end to end; products go block by block to save memory."""
+
+    BLOCK = 1 << 19
 
     def __init__(self, rows: list[np.ndarray], width: int, values: list[np.ndarray] | None = None):
         self.width, self.n = width, len(rows)
-        sizes = np.array([len(r) for r in rows], np.int64)
-        self.index = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(self.n), sizes)
-        self.values = np.concatenate(values) if values else None
+        ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+        self.index = np.concatenate(rows).astype(np.int32, copy=False) if rows else np.zeros(0, np.int32)
+        self.values = np.concatenate(values).astype(np.float32, copy=False) if values else None
+        marks = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, self.BLOCK), "right"))
+        self.blocks = []  # (first row, last row, first cell, last cell)
+        for first, last in zip(marks, [*marks[1:], self.n]):
+            self.blocks.append((int(first), int(last), int(ends[first - 1]) if first else 0, int(ends[last - 1])))
+        self.sizes = np.diff(ends, prepend=0)
+
+    def _parts(self):
+        for first, last, a, b in self.blocks:
+            row = np.repeat(np.arange(last - first), self.sizes[first:last])
+            yield first, last, self.index[a:b], row, None if self.values is None else self.values[a:b]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        taken = w[self.index]
-        return np.bincount(self.row, taken if self.values is None else taken * self.values, self.n)
+        out = np.zeros(self.n)
+        for first, last, index, row, values in self._parts():
+            taken = w[index]
+            out[first:last] = np.bincount(row, taken if values is None else taken * values, last - first)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        taken = g[self.row]
-        return np.bincount(self.index, taken if self.values is None else taken * self.values, self.width)
+        out = np.zeros(self.width)
+        for first, last, index, row, values in self._parts():
+            taken = g[first:last][row]
+            out += np.bincount(index, taken if values is None else taken * values, self.width)
+        return out
 
 
 def sigmoid(x):

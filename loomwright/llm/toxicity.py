@@ -39,14 +39,13 @@ class NaiveBayesScaled:
         x = Rows(rows, width)
         p, q = 1.0 + x.back(labels), 1.0 + x.back(1.0 - labels)
         ratio = np.log((p / p.sum()) / (q / q.sum()))
-        x.values = ratio[x.index]
         sign = 2 * labels - 1
         balance = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
 
         def loss(v):
-            z = sign * (x.dot(v[:-1]) + v[-1])
+            z = sign * (x.dot(ratio * v[:-1]) + v[-1])
             g = -sign * sigmoid(-z) * balance
-            down = np.append(x.back(g), g.sum())
+            down = np.append(ratio * x.back(g), g.sum())
             down[:-1] += penalty * v[:-1]
             return float((np.logaddexp(0, -z) * balance).sum() + penalty / 2 * v[:-1].dot(v[:-1])), down
 
@@ -79,8 +78,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, per_class: int = TRAIN_
         return lambda doc_id, text, y: (doc_id, y, present(text).tobytes())
 
     got = map_rows(sample, make, "doc_id bigint, y int, slots binary").collect()
-    got = sorted({r.doc_id: r for r in got}.values(), key=lambda r: r.doc_id)
-    return NaiveBayesScaled.fit([np.frombuffer(r.slots, np.int32) for r in got], np.array([r.y for r in got]))
+    got = sorted({r.doc_id: (r.doc_id, r.y, r.slots) for r in got}.values())
+    return NaiveBayesScaled.fit([np.frombuffer(x, np.int32) for _, _, x in got], np.array([y for _, y, _ in got]))
 
 
 def score(docs: DataFrame, model: NaiveBayesScaled) -> DataFrame:
