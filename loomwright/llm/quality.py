@@ -16,6 +16,7 @@ from __future__ import annotations
 import operator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,11 +129,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _score_column(model):
     """Arrow function of the text column, so that other columns never leave the JVM."""
-    from pyspark.sql.functions import arrow_udf
 
-    import pyarrow as pa
-
-    @arrow_udf("double")
+    @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
         return pa.array([model.value(t.as_py()) for t in text], pa.float64())
 
