@@ -27,10 +27,33 @@ def postings_text(index: DataFrame) -> DataFrame:
     return index.select("term", "df", text.alias("postings"))
 
 
-def gaps(docs: DataFrame) -> DataFrame:
-    """(term, docid, gap, tf): distance to the previous document of the term (the first: to 0)."""
-    before = F.lag("docid", 1, 0).over(Window.partitionBy("term").orderBy("docid"))
-    return term_frequencies(docs).select("term", "docid", (F.col("docid") - before).alias("gap"), "tf")
+#: Document ids that one task of ``gaps`` or one segment of a posting list spans at most.
+SPAN = 1 << 20
+
+
+def segments(docs: DataFrame, span: int = SPAN, docid: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, segment, df, postings): posting lists cut at multiples of ``span`` ids.
+
+    A term that every document holds is a list of bounded rows, not one row that grows with the
+    collection; ``df`` counts the segment.
+    """
+    entries = F.sort_array(F.collect_list(F.struct("docid", "tf"))).alias("postings")
+    keyed = term_frequencies(docs, docid, text).withColumn("segment", F.floor(F.col("docid") / span))
+    return keyed.groupBy("term", "segment").agg(F.count(F.lit(1)).alias("df"), entries)
+
+
+def gaps(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(term, docid, gap, tf): distance to the previous document of the term (the first: to 0).
+
+    Each term is walked in stretches of ``span`` ids, so a term of all documents is many tasks;
+    a stretch learns where the one before it ended from a table with one row a stretch.
+    """
+    found = term_frequencies(docs).withColumn("part", F.floor(F.col("docid") / span))
+    ends = found.groupBy("term", "part").agg(F.max("docid").alias("last"))
+    ends = ends.select("term", "part", F.lag("last", 1, 0).over(Window.partitionBy("term").orderBy("part")).alias("before"))
+    inside = F.lag("docid").over(Window.partitionBy("term", "part").orderBy("docid"))
+    walked = found.withColumn("previous", inside).join(ends, ["term", "part"])
+    return walked.select("term", "docid", (F.col("docid") - F.coalesce("previous", "before")).alias("gap"), "tf")
 
 
 def size_bytes(docs: DataFrame) -> DataFrame:

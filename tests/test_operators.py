@@ -66,6 +66,15 @@ def test_index(spark):
     assert retrieval.decompressed(retrieval.compressed(big)).first().docid == 3_000_000_000
 
 
+def test_stretches_and_segments(spark):
+    some = docs(spark, ["a b" if k % 3 else "a" for k in range(40)])
+    whole = pairs(retrieval.gaps(some), "term", "docid", "gap")
+    assert pairs(retrieval.gaps(some, span=7), "term", "docid", "gap") == whole
+    assert whole[("a", 5)] == 1 and whole[("b", 4)] == 2
+    cut = retrieval.segments(some, span=7).collect()
+    assert sorted(p.docid for r in cut if r.term == "a" for p in r.postings) == list(range(40)) and max(r.df for r in cut) == 7
+
+
 def test_codec():
     posts = [(5, 1), (133, 2), (400, 1)]
     assert codec.encode(posts).hex(" ") == "05 01 8f 80 02 8e 01 0b 01"
