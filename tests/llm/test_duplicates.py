@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomwright.llm import decontaminate, queries, simhash, suffixarray, warc
+from loomwright.llm import decontaminate, nearcopies, queries, simhash, suffixarray, warc
 from loomwright.llm._anchors import anchors
 from loomwright.llm._words import shingles, word_hashes, word_hashes_of
 
@@ -78,6 +78,61 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.op9(none).count() == 0 and simhash.keep_first(none).count() == 0
 
 
+def plain_near(texts):
+    """Classes by comparing every pair: a part with 3 equal bytes, and few bits apart in all."""
+    prints = {k: np.array(nearcopies.fingerprint(t), np.int64).view(np.uint64) for k, t in texts.items()}
+    root = {k: k for k in prints}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in prints:
+        for b in prints:
+            if a < b and np.bitwise_count(d := prints[a] ^ prints[b]).sum() <= nearcopies.FAR:
+                if any(sum(not int(x) >> 8 * i & 255 for i in range(8)) >= nearcopies.SAME for x in d):
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+    return {k: find(k) for k in prints}
+
+
+def test_near_copies_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r.component_id for r in nearcopies.classes(docs).collect()}
+    assert got == plain_near({r.doc_id: r.text for r in docs.collect()})
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(4000)]
+    rows, of = [], {}
+    for base in range(60):
+        text = rnd.choices(words, k=rnd.randint(60, 400))
+        for copy in range(3):
+            own = list(text)
+            for _ in range(copy * len(own) // 100):  # 1 or 2 words in a hundred: similarity over 0.8
+                own[rnd.randrange(len(own))] = rnd.choice(words)
+            of[len(rows)] = base * 3
+            rows.append((len(rows), " ".join(own)))
+    got = {r.doc_id: r.component_id for r in nearcopies.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert np.mean([got[k] == of[k] for k in of]) > 0.95
+    assert all(of[got[k]] == of[k] for k in of)
+
+
+def test_near_copies_odd_rows(odd, none):
+    kept = nearcopies.keep_first(odd.withColumnRenamed("lang", "id"))
+    assert kept.columns == ["doc_id", "text", "id", "source", "n_chars"]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 4]
+    assert nearcopies.classes(none).count() == 0 and nearcopies.keep_first(none).count() == 0
+
+
+def test_near_groups_are_stars():
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 1 << 63, (6, 3), np.uint64)
+    prints = np.concatenate([base ^ (np.uint64(1) << draw.integers(0, 60, (6, 3)).astype(np.uint64)) for _ in range(9)])
+    assert nearcopies.stars(prints).tolist() == [k % 6 for k in range(54)]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40))
 def test_suffix_order(symbols):
