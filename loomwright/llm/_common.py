@@ -112,6 +112,8 @@ def map_rows(
 def settled(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps, which it does when the driver's garbage goes."""
     import gc
+    import time
 
     gc.collect()
+    time.sleep(0.2)  # the wrappers' release reaches the JVM by another thread
     spark.sparkContext._jvm.System.gc()

@@ -6,7 +6,7 @@ group, and what is pointed at k times moves, inside its own group, behind what i
 fewer times, so groups become those of equal Lyndon prefixes. A second sweep emits each group's
 order from the smaller suffixes already placed. Nothing is renamed and there is no recursion.
 
-Distribution. A ``LENGTH``-byte string has an anchor, its 32-byte gram of least hash, at the same
+Distribution. A string of ``Shape.length`` bytes has an anchor, its 32-byte gram of least hash, at the same
 place wherever the string starts. (1) The anchors of all documents are counted with a hash of
 their whole context (all strings around the anchor): a context that occurs twice is repeated
 throughout; an anchor whose contexts differ is open. (2) One copy of every open context is cut
@@ -24,6 +24,8 @@ text, so a row that repeats counts as another document, as the definition says.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,29 @@ from ._anchors import anchors
 from ._common import map_rows, partitions, settled, stored
 from ._words import _BACK, _BYTE, _POWER, mixed
 
-LENGTH, GRAM, BLOCK = 400, 32, 64
-LEFT = LENGTH - GRAM
-#: Blocks of BLOCK bytes, counted from the anchor, that every string of LENGTH bytes holds whole.
-SHARED = (LENGTH - BLOCK + 1) // BLOCK
+
+
+class Shape(NamedTuple):
+    """Bytes of a string, of its anchor's gram, and of the blocks that the suffix array sees."""
+
+    length: int = 400
+    gram: int = 32
+    block: int = 64
+
+    @property
+    def left(self) -> int:
+        """Bytes before an anchor that a string around it can hold."""
+        return self.length - self.gram
+
+    @property
+    def shared(self) -> int:
+        """Blocks, counted from the anchor, that every string holds whole."""
+        return (self.length - self.block + 1) // self.block
+
+
+SHAPE = Shape()
 #: Open contexts of one anchor that one task may gather.
-GROUP = 16384
+GROUP = 20_000
 #: Contexts taken together into one suffix array.
 TOGETHER = 2048
 
@@ -117,19 +136,20 @@ def common_prefixes(symbols: list[int], order: list[int], most: int) -> list[int
     return shared
 
 
-def candidates(group: np.ndarray, left: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Which (context, block before the anchor) begin ``SHARED`` blocks found twice in the contexts.
+def candidates(group: np.ndarray, left: np.ndarray, raw: np.ndarray, sizes: np.ndarray, shape: Shape = SHAPE) -> np.ndarray:
+    """Which (context, block before the anchor) begin ``shared`` blocks found twice in the contexts.
 
-    ``raw``: one context a row, its anchor at column ``LEFT``. Result: contexts x blocks, boolean.
+    ``raw``: one context a row, its anchor at column ``left``. Result: contexts x blocks, boolean.
     """
-    n, before, after = len(raw), LEFT // BLOCK, LENGTH // BLOCK
+    size, need = shape.block, shape.shared
+    n, before, after = len(raw), shape.left // size, shape.length // size
     blocks = before + after
-    first = LEFT - before * BLOCK
-    cells = raw[:, first : first + blocks * BLOCK].reshape(n, blocks, BLOCK)
-    hashed = mixed((_BYTE[cells] * _POWER[:BLOCK]).sum(2, dtype=np.uint64) + group[:, None])
+    first = shape.left - before * size
+    cells = raw[:, first : first + blocks * size].reshape(n, blocks, size)
+    hashed = mixed((_BYTE[cells] * _POWER[:size]).sum(2, dtype=np.uint64) + group[:, None])
     # blocks that lie in the context as a whole; the others equal nothing
-    begin = (np.arange(blocks) - before) * BLOCK
-    whole = (begin[None, :] >= -left[:, None]) & (begin[None, :] + BLOCK <= (sizes - left)[:, None])
+    begin = (np.arange(blocks) - before) * size
+    whole = (begin[None, :] >= -left[:, None]) & (begin[None, :] + size <= (sizes - left)[:, None])
     _, ranks, counts = np.unique(hashed[whole], return_inverse=True, return_counts=True)
     # a symbol that occurs once ends every match, and so does a separator
     symbols = np.zeros((n, blocks + 1), np.int64)
@@ -139,69 +159,69 @@ def candidates(group: np.ndarray, left: np.ndarray, raw: np.ndarray, sizes: np.n
     known = flat > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]]).astype(np.int8)))
     starts, stops = edge[::2], edge[1::2]
-    long = stops - starts >= SHARED
+    long = stops - starts >= need
     pieces = [np.append(np.arange(a, b), -1) for a, b in zip(starts[long], stops[long])]
     found = np.zeros(flat.shape, np.bool_)
     if pieces:
         where = np.concatenate(pieces)
         text = np.where(where >= 0, flat[where], 0).tolist()
         order = suffix_order(text)
-        shared = np.array(common_prefixes(text, order, SHARED))
+        shared = np.array(common_prefixes(text, order, need))
         # a separator in the shared part: not inside one context
         whole_run = np.ones(len(text), np.bool_)
-        for k in range(SHARED):
+        for k in range(need):
             whole_run[: len(text) - k] &= where[k:] >= 0
-        whole_run[len(text) - SHARED + 1 :] = False
+        whole_run[len(text) - need + 1 :] = False
         order = np.array(order)
         twice = np.zeros(len(text), np.bool_)
-        met = np.flatnonzero(shared >= SHARED)
+        met = np.flatnonzero(shared >= need)
         twice[order[met]] = twice[order[met - 1]] = True
         found[where[twice & whole_run]] = True
     return found.reshape(n, blocks + 1)[:, : before + 1]
 
 
-def string_hashes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Hash of the LENGTH-byte string that starts ``offsets`` bytes before the anchor, each row."""
+def string_hashes(raw: np.ndarray, offsets: np.ndarray, shape: Shape = SHAPE) -> np.ndarray:
+    """Hash of the string that starts ``offsets`` bytes before the anchor, each row."""
     sums = np.zeros((len(raw), raw.shape[1] + 1), np.uint64)
     np.cumsum(_BYTE[raw] * _POWER[: raw.shape[1]], axis=1, out=sums[:, 1:])
-    at = LEFT - offsets
-    return (sums[:, at + LENGTH] - sums[:, at]) * _BACK[at]
+    at = shape.left - offsets
+    return (sums[:, at + shape.length] - sums[:, at]) * _BACK[at]
 
 
-def laid(contexts: list[bytes], left: np.ndarray) -> np.ndarray:
+def laid(contexts: list[bytes], left: np.ndarray, shape: Shape = SHAPE) -> np.ndarray:
     """Contexts as rows, anchors in one column; what is missing at an end is zero."""
-    raw = np.zeros((len(contexts), LEFT + LENGTH), np.uint8)
+    raw = np.zeros((len(contexts), shape.left + shape.length), np.uint8)
     for k, (c, a) in enumerate(zip(contexts, left.tolist())):
-        raw[k, LEFT - a : LEFT - a + len(c)] = np.frombuffer(c, np.uint8)
+        raw[k, shape.left - a : shape.left - a + len(c)] = np.frombuffer(c, np.uint8)
     return raw
 
 
-def repeated(group: np.ndarray, left: np.ndarray, contexts: list[bytes]):
+def repeated(group: np.ndarray, left: np.ndarray, contexts: list[bytes], shape: Shape = SHAPE):
     """(context, from, to): bytes relative to the anchor that repeated strings cover."""
-    sizes, raw = np.array([len(c) for c in contexts]), laid(contexts, left)
-    maybe = candidates(group, left, raw, sizes)
-    before = LEFT // BLOCK
+    sizes, raw = np.array([len(c) for c in contexts]), laid(contexts, left, shape)
+    maybe = candidates(group, left, raw, sizes, shape)
+    before = shape.left // shape.block
     rows, offsets, hashes = [], [], []
     for b in range(before + 1):
         own = np.flatnonzero(maybe[:, before - b])
-        span = np.arange(BLOCK * b, min(BLOCK * (b + 1), LEFT + 1))
+        span = np.arange(shape.block * b, min(shape.block * (b + 1), shape.left + 1))
         for begin in range(0, len(own), 512):
             some = own[begin : begin + 512]
-            value = string_hashes(raw[some], span) + group[some, None]
-            inside = (span[None, :] <= left[some, None]) & (LENGTH - span[None, :] <= (sizes - left)[some, None])
+            value = string_hashes(raw[some], span, shape) + group[some, None]
+            inside = (span[None, :] <= left[some, None]) & (shape.length - span[None, :] <= (sizes - left)[some, None])
             r, c = np.nonzero(inside)
-            rows.append(some[r])
-            offsets.append(span[c])
+            rows.append(some[r].astype(np.int32))
+            offsets.append(span[c].astype(np.int16))
             hashes.append(mixed(value[r, c]) + mixed(span[c].astype(np.uint64)))
     if not rows:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
     rows, offsets, hashes = map(np.concatenate, (rows, offsets, hashes))
     _, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
     keep = counts[back] > 1
-    return runs(rows[keep], offsets[keep])
+    return runs(rows[keep], offsets[keep], shape.length)
 
 
-def runs(rows: np.ndarray, offsets: np.ndarray):
+def runs(rows: np.ndarray, offsets: np.ndarray, length: int):
     """Consecutive offsets of each row -> (row, from, to) relative to the anchor."""
     if not len(rows):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
@@ -209,21 +229,22 @@ def runs(rows: np.ndarray, offsets: np.ndarray):
     rows, offsets = rows[order], offsets[order]
     cut = np.flatnonzero((np.diff(rows) != 0) | (np.diff(offsets) != 1)) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(rows)]]) - 1
-    return rows[first], -offsets[last], LENGTH - offsets[first]
+    return rows[first], -offsets[last].astype(np.int64), length - offsets[first].astype(np.int64)
 
 
+_STRETCHES = "array<struct<a:int,b:int>>"
 _KEYED = "rid binary, pos bigint, h bigint, cx bigint, left smallint, right smallint"
 
 
-def _anchor_rows(batches):
+def _anchor_rows(batches, shape: Shape):
     for batch in batches:
         for rid, text in zip(*(c.to_pylist() for c in batch.columns)):
             raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-            for at, h, cx in anchors(raw, LENGTH, GRAM):
+            for at, h, cx in anchors(raw, shape.length, shape.gram):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([rid] * len(at), pa.binary()), pa.array(at), pa.array(h.view(np.int64)), pa.array(cx.view(np.int64)),
-                        pa.array(np.minimum(at, LEFT).astype(np.int16)), pa.array(np.minimum(len(raw) - at, LENGTH).astype(np.int16)),
+                        pa.array(np.minimum(at, shape.left).astype(np.int16)), pa.array(np.minimum(len(raw) - at, shape.length).astype(np.int16)),
                     ],
                     names=["rid", "pos", "h", "cx", "left", "right"],
                 )
@@ -242,7 +263,7 @@ def _joined(batches, rows: int = 1 << 16):
         yield pa.concat_batches(held)
 
 
-def _cut_out(batches):
+def _cut_out(batches, shape: Shape):
     """text, open anchors -> their contexts."""
     kind = pa.schema([("h", pa.int64()), ("cx", pa.int64()), ("left", pa.int16()), ("context", pa.binary())])
     for batch in batches:
@@ -250,7 +271,7 @@ def _cut_out(batches):
         for text, spots in zip(*(c.to_pylist() for c in batch.columns)):
             raw = (text or "").encode("utf-8", "surrogatepass")
             for s in spots:
-                rows.append((s["h"], s["cx"], min(s["pos"], LEFT), raw[max(0, s["pos"] - LEFT) : s["pos"] + LENGTH]))
+                rows.append((s["h"], s["cx"], min(s["pos"], shape.left), raw[max(0, s["pos"] - shape.left) : s["pos"] + shape.length]))
                 if len(rows) == 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
                     rows = []
@@ -258,14 +279,17 @@ def _cut_out(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
 
-def _gathered(batches):
+def _gathered(batches, shape: Shape):
     """Contexts sorted by anchor -> what is repeated, some whole anchors at a time."""
 
     def solved(rows):
         h, cx, left, contexts = zip(*rows)
-        row, a, b = repeated(np.array(h, np.int64).view(np.uint64), np.array(left, np.int64), list(contexts))
+        row, a, b = repeated(np.array(h, np.int64).view(np.uint64), np.array(left, np.int64), list(contexts), shape)
+        begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+        own, ends = row[begins], np.append(begins, len(row)).astype(np.int32)
+        stretches = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["a", "b"])
         return pa.RecordBatch.from_pydict(
-            {"h": pa.array(np.array(h, np.int64)[row]), "cx": pa.array(np.array(cx, np.int64)[row]), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))}
+            {"h": pa.array(np.array(h, np.int64)[own]), "cx": pa.array(np.array(cx, np.int64)[own]), "ab": pa.ListArray.from_arrays(pa.array(ends), stretches)}
         )
 
     rows: list[tuple] = []
@@ -279,14 +303,14 @@ def _gathered(batches):
         yield solved(rows)
 
 
-def _strings(batches):
+def _strings(batches, shape: Shape):
     """Contexts -> every string in them, by hash (for anchors with too many contexts to gather)."""
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             h, cx, left, contexts = (c.to_pylist() for c in batch.slice(begin, 256).columns)
-            left, sizes, span = np.array(left, np.int64), np.array([len(c) for c in contexts]), np.arange(LEFT + 1)
-            value = string_hashes(laid(contexts, left), span)
-            r, c = np.nonzero((span[None, :] <= left[:, None]) & (LENGTH - span[None, :] <= (sizes - left)[:, None]))
+            left, sizes, span = np.array(left, np.int64), np.array([len(c) for c in contexts]), np.arange(shape.left + 1)
+            value = string_hashes(laid(contexts, left, shape), span, shape)
+            r, c = np.nonzero((span[None, :] <= left[:, None]) & (shape.length - span[None, :] <= (sizes - left)[:, None]))
             yield pa.RecordBatch.from_pydict(
                 {"h": pa.array(np.array(h, np.int64)[r]), "cx": pa.array(np.array(cx, np.int64)[r]), "o": pa.array(c.astype(np.int32)), "s": pa.array(mixed(value[r, c]).view(np.int64))}
             )
@@ -298,50 +322,62 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_rid", F.unhex(F.md5(lead.cast("binary"))))
 
 
-def spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """(_rid, spots): for documents that lose bytes, the covered stretches [a, b), unmerged."""
+def spans(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFrame:
+    """(_rid, spots): for documents that lose bytes, their anchors and what is covered around each."""
     keyed, width = _keyed(docs.select("doc_id", "text")), partitions(docs)
-    found = stored(keyed.select("_rid", "text").mapInArrow(lambda x: _joined(_anchor_rows(x)), _KEYED), "anchors")
+    found = stored(keyed.select("_rid", "text").mapInArrow(lambda x: _joined(_anchor_rows(x, shape)), _KEYED), "anchors")
+    settled(docs.sparkSession)
+    # anchors whose contexts differ; "m" counts their rows, which are no fewer than their contexts
+    varied = found.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("cx").alias("least"), F.max("cx").alias("most"))
+    varied = stored(varied.filter("least <> most").select("h", "m"), "varied")
     each = found.groupBy("h", "cx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "pos")).alias("at"))
-    varied = each.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     each = stored(each.join(varied, "h", "left").filter("n > 1 or m > 1"), "contexts")
     settled(docs.sparkSession)
+    large = each.filter(f"m > {group}").groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    large = stored(large.filter(f"k > {group}").select("h"), "large")
 
-    def contexts(condition: str) -> DataFrame:
-        spots = each.filter(condition).select(F.col("at.rid").alias("_rid"), F.col("at.pos").alias("pos"), "h", "cx")
+    def contexts(how: str) -> DataFrame:
+        spots = each.filter("m > 1").join(large, "h", how).select(F.col("at.rid").alias("_rid"), F.col("at.pos").alias("pos"), "h", "cx")
         spots = spots.groupBy("_rid").agg(F.collect_list(F.struct("pos", "h", "cx")).alias("spots"))
-        return keyed.join(spots, "_rid").select("text", "spots").mapInArrow(_cut_out, "h bigint, cx bigint, left smallint, context binary")
+        return keyed.join(spots, "_rid").select("text", "spots").mapInArrow(partial(_cut_out, shape=shape), "h bigint, cx bigint, left smallint, context binary")
 
-    some = contexts(f"m > 1 and m <= {group}").repartition(width, "h").sortWithinPartitions("h")
-    covered = stored(some.mapInArrow(_gathered, "h bigint, cx bigint, a int, b int"), "repeats")
+    # no name is kept for what is only written: its shuffle files go with the next ``settled``
+    covered = stored(
+        contexts("left_anti").repartition(width, "h").sortWithinPartitions("h").mapInArrow(partial(_gathered, shape=shape), f"h bigint, cx bigint, ab {_STRETCHES}"), "repeats"
+    )
     settled(docs.sparkSession)
-    if each.filter(f"m > {group}").limit(1).count():
-        strings = contexts(f"m > {group}").mapInArrow(_strings, "h bigint, cx bigint, o int, s bigint")
-        strings = stored(strings, "strings")
+    if large.limit(1).count():
+        strings = stored(contexts("left_semi").mapInArrow(partial(_strings, shape=shape), "h bigint, cx bigint, o int, s bigint"), "strings")
+        settled(docs.sparkSession)
         twice = strings.groupBy("h", "o", "s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
         # consecutive offsets of a context make one stretch
         own = strings.join(twice, ["h", "o", "s"]).groupBy("h", "cx").agg(F.sort_array(F.collect_list("o")).alias("o"))
-        own = map_rows(own, lambda: lambda h, cx, o: (h, cx, [(a, b) for a, b in _runs_of(o)]), "h bigint, cx bigint, ab array<struct<a:int,b:int>>")
-        covered = covered.unionByName(own.select("h", "cx", F.inline("ab")))
-    whole = each.filter("n > 1").select("h", "cx", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
-    partly = covered.join(each.filter("n > 1").select("h", "cx"), ["h", "cx"], "left_anti")
-    met = found.join(whole.unionByName(partly), ["h", "cx"]).select(
-        F.col("rid").alias("_rid"),
-        (F.col("pos") + F.coalesce("a", -F.col("left"))).alias("a"), (F.col("pos") + F.coalesce("b", "right")).alias("b"),
-    )
-    return met.groupBy("_rid").agg(F.collect_set(F.struct("a", "b")).alias("spots"))
-
-
-def _runs_of(offsets: list[int]) -> list[tuple[int, int]]:
+        length = shape.length
+        own = map_rows(own, lambda: lambda h, cx, o: (h, cx, _runs_of(o, length)), f"h bigint, cx bigint, ab {_STRETCHES}")
+        covered = covered.unionByName(own)
+    # a context that occurs twice is covered as a whole (null); one row a context, so each anchor meets one
+    whole = each.filter("n > 1").select("h", "cx", F.lit(None).cast(_STRETCHES).alias("ab"))
+    partly = covered.join(whole.select("h", "cx"), ["h", "cx"], "left_anti")
+    met = found.join(whole.unionByName(partly), ["h", "cx"]).select(F.col("rid").alias("_rid"), F.struct("pos", "left", "right", "ab").alias("spot"))
+    return met.groupBy("_rid").agg(F.collect_set("spot").alias("spots"))
+
+
+def _runs_of(offsets: list[int], length: int) -> list[tuple[int, int]]:
     o = np.array(offsets)
-    _, a, b = runs(np.zeros(len(o), int), o)
+    _, a, b = runs(np.zeros(len(o), int), o, length)
     return list(zip(a.tolist(), b.tolist()))
 
 
 def merged(spots) -> list[tuple[int, int]]:
-    """Stretches in order, touching ones joined."""
+    """Covered stretches of a text in order, touching ones joined."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spots or ()):
+    found = []
+    for s in spots or ():
+        if s["ab"] is None:
+            found.append((s["pos"] - s["left"], s["pos"] + s["right"]))
+        else:
+            found += [(s["pos"] + x["a"], s["pos"] + x["b"]) for x in s["ab"]]
+    for a, b in sorted(found):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -354,7 +390,7 @@ def kept(raw: bytes, stretches: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2]))
 
 
-def report(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def report(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     keyed = _keyed(docs.select(F.col("doc_id").cast("bigint"), "text"))
 
@@ -366,17 +402,17 @@ def report(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
         return one
 
-    joined = keyed.join(spans(docs, group), "_rid", "left").select("doc_id", "text", "spots")
+    joined = keyed.join(spans(docs, group, shape), "_rid", "left").select("doc_id", "text", "spots")
     return map_rows(joined, make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def cut(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def cut(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFrame:
     """``docs`` with the covered bytes cut out of ``text`` (``n_chars``, if there, follows); no row goes.
 
     A code point of which a byte is covered goes as a whole. Texts that lose nothing, nulls
     included, stay as they are.
     """
-    joined = _keyed(docs).join(spans(docs, group).withColumnRenamed("spots", "_spots"), "_rid", "left")
+    joined = _keyed(docs).join(spans(docs, group, shape).withColumnRenamed("spots", "_spots"), "_rid", "left")
 
     @F.arrow_udf("string")
     def shorter(text: pa.Array, spots: pa.Array) -> pa.Array:

@@ -150,15 +150,15 @@ def test_anchors_follow_content():
     assert not list(anchors(np.zeros(399, np.uint8), 400, 32))
 
 
-def plain_cut(texts):
+def plain_cut(texts, size=400):
     raws = [(t or "").encode() for t in texts]
-    times = Counter(r[k : k + 400] for r in raws for k in range(len(r) - 399))
+    times = Counter(r[k : k + size] for r in raws for k in range(len(r) - size + 1))
     out = []
     for r in raws:
         gone = np.zeros(len(r) + 1, bool)
-        for k in range(len(r) - 399):
-            if times[r[k : k + 400]] > 1:
-                gone[k : k + 400] = True
+        for k in range(len(r) - size + 1):
+            if times[r[k : k + size]] > 1:
+                gone[k : k + size] = True
         kept = bytes(b for b, g in zip(r, gone) if not g)
         out.append((len(r), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()))
     return out
@@ -179,6 +179,8 @@ def test_cut_brute_force(spark, group):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: tuple(r)[1:] for r in suffixarray.report(docs, group).collect()}
     assert [got[k] for k in range(len(texts))] == plain_cut(texts)
+    got = {r.doc_id: tuple(r)[1:] for r in suffixarray.report(docs, group, suffixarray.Shape(280, block=32)).collect()}
+    assert [got[k] for k in range(len(texts))] == plain_cut(texts, 280)
 
 
 def test_cut_odd_rows(odd, none):

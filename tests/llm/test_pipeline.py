@@ -16,16 +16,17 @@ def test_stages(spark):
     kept = {r.doc_id: r for r in docs.collect() if model(r.text) >= quality.CUT_SCORE}
     of = plain_near({k: r.text for k, r in kept.items()})
     kept = {k: r.text for k, r in kept.items() if of[k] == k}
-    # cut every byte of a 400-byte string that starts twice
+    # cut every byte of a passage-sized string that starts twice
+    size = corpus_pipeline.PASSAGE_BYTES
     raws = {k: t.encode() for k, t in kept.items()}
     seen = {}
     for k, r in raws.items():
-        for a in range(len(r) - 399):
-            seen.setdefault(r[a : a + 400], []).append((k, a))
+        for a in range(len(r) - size + 1):
+            seen.setdefault(r[a : a + size], []).append((k, a))
     gone = {k: bytearray(len(r)) for k, r in raws.items()}
     for places in seen.values():
         for k, a in places if len(places) > 1 else ():
-            gone[k][a : a + 400] = b"\1" * 400
+            gone[k][a : a + size] = b"\1" * size
     texts = {k: bytes(b for b, g in zip(r, gone[k]) if not g).decode("utf-8", "ignore") for k, r in raws.items()}
     index = decontaminate.Index([(r.item_id, r.text) for r in bench.collect()])
     texts = {k: t for k, t in texts.items() if not index.matches(t)}
