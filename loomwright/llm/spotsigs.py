@@ -67,8 +67,8 @@ def likeness(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` and ``next_<column>``: the row that follows in ascending doc_id (after the last: the first).
+def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """``docs``, the ``derived`` columns and ``next_<column>``: the row that follows in ascending doc_id (after the last: the first).
 
     Rows are dealt into buckets between quantiles of doc_id, whose number follows the session's
     partitions; each bucket also gets a copy of the first row of the one after it, so no task
@@ -93,6 +93,8 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     copies = docs.join(F.broadcast(ahead), F.col("doc_id").eqNullSafe(F.col("_first")))
     copies = copies.select(*docs.columns, F.col("_to").alias("_bucket"), F.lit(1).alias("_copy"))
     dealt = docs.select("*", bucket.alias("_bucket"), F.lit(0).alias("_copy")).unionByName(copies)
+    # derived here, once a row: above the join that finds the copies it would be done twice
+    dealt = dealt.withColumns(derived or {})
     order = Window.partitionBy("_bucket").orderBy("_copy", "doc_id")
     return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).filter("_copy = 0").drop("_bucket", "_copy")
 
@@ -100,8 +102,8 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 def op3(docs: DataFrame) -> DataFrame:
     """The contract's rows."""
     text = F.coalesce("text", F.lit(""))
-    own = docs.select("doc_id", text.alias("text"), signatures(text).alias("signs"))
-    both = with_next(own, ["text", "signs"])
+    own = docs.select("doc_id", text.alias("text"))
+    both = with_next(own, ["text", "signs"], {"signs": signatures(F.col("text"))})
     size = F.length("text")
     cut = F.floor(size / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - cut), F.substring("next_text", F.lit(1), cut))
