@@ -2,8 +2,8 @@
 
 Words are lower-cased runs of letters and digits. For each length L of a benchmark item every
 window of L words of a document that can still reach the threshold is fingerprinted (64-bit
-SimHash over its words). Fingerprints are split into 8 blocks of 8 bits; two within ``RADIUS``
-differ by at most ``RADIUS // 8`` bits in some block, so tables of the items by block value
+SimHash over its words); a document of fewer than L words is one window as a whole.
+Fingerprints are split into 8 blocks of 8 bits; two within ``RADIUS`` differ by at most ``RADIUS // 8`` bits in some block, so tables of the items by block value
 (all values within that many bits) return every item within the radius. Candidates are then
 verified: the similarity of window and item is the weighted Dice coefficient of their 5-word
 shingles, repeats counted, a shingle's weight ln(1 + items / items that hold it); a match
@@ -131,17 +131,18 @@ class Index:
         local = own[low : min(high, len(own))]
         total = np.concatenate([[0.0], np.cumsum(self.weigh(local))])
         for n, length in self.lengths.items():
-            starts = np.arange(0, high - low - n + 1)
-            span = n - SIZE + 1
+            size = min(n, len(words))  # a text shorter than the item is one window
+            starts = np.arange(0, high - low - size + 1)
+            span = size - SIZE + 1
             starts = starts[gained[starts + span] - gained[starts] >= THRESHOLD / (2 - THRESHOLD) * length.least - 1e-9]
             for begin in range(0, len(starts), TOGETHER):
                 part = starts[begin : begin + TOGETHER]
-                a, b = int(part[0]), int(part[-1]) + n
+                a, b = int(part[0]), int(part[-1]) + size
                 votes = np.zeros((b - a + 1, 64), np.int32)
                 np.cumsum(_bits(words[low + a : low + b]), axis=0, out=votes[1:])
-                window, item = length.near(_packed(votes[part - a + n] - votes[part - a]))
+                window, item = length.near(_packed(votes[part - a + size] - votes[part - a]))
                 for i in np.unique(item).tolist():
-                    self._verify(own, local, total, low, part[window[item == i]], n, length.items[i], best)
+                    self._verify(own, local, total, low, part[window[item == i]], size, length.items[i], best)
 
     def _verify(self, own, local, total, low, starts, n, item, best) -> None:
         """Exact similarity of candidate windows, those first that can be most similar."""
