@@ -13,7 +13,7 @@ Windows that cannot pass are skipped without loss: a match needs two thirds of t
 weight in shingles that the benchmark knows. Items with fewer than 5 words have no shingle and
 are ignored, as are null texts; documents that are null or empty match nothing. Items are taken
 in blocks of ``ITEMS`` (one scan of the documents for each), so what goes to the executors is
-bounded however large the benchmark is.
+bounded however large the benchmark is; weights are those of the whole benchmark in every block.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stored
 from ._words import shingles, word_hashes, word_hashes_of
 
 SIZE, THRESHOLD = 5, 0.8
@@ -68,9 +69,13 @@ class Length:
 
 
 class Index:
-    """Benchmark items ready for matching."""
+    """Benchmark items ready for matching.
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    Where ``rows`` are a part of the benchmark, ``whole`` has the number of all its items and, for each
+    shingle of the part (in order), of those that hold it.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], whole: tuple[int, np.ndarray] | None = None):
         items = []
         for item_id, text in rows:
             words = word_hashes(text)
@@ -78,7 +83,8 @@ class Index:
                 items.append({"id": item_id, "words": words, "shingles": shingles(words, SIZE)})
         each = [np.unique(i["shingles"]) for i in items]
         self.known, spread = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_counts=True)
-        self.weights, self.rare = np.log1p(len(items) / spread), float(np.log1p(len(items)))
+        total, spread = whole or (len(items), spread)
+        self.weights, self.rare = np.log1p(total / spread), float(np.log1p(total))
         self.shift = np.uint64(64 - max(16, int(np.ceil(np.log2(16 * max(1, len(self.known)))))))
         self.seen = np.zeros(1 << int(64 - self.shift), np.bool_)
         self.seen[self.known >> self.shift] = True
@@ -168,25 +174,47 @@ class Index:
         return float(2 * (both * weight).sum() / ((count * weight).sum() + item["weight"]))
 
 
+def _holders(rows: DataFrame, part) -> tuple[int, DataFrame]:
+    """The number of items that have shingles, and (part, shingle, n): of each part's shingles the items of all parts that hold them."""
+
+    def own(batches):
+        for batch in batches:
+            for k, text in zip(*(c.to_pylist() for c in batch.columns)):
+                each = np.unique(shingles(word_hashes(text), SIZE)).view(np.int64)
+                first = np.arange(len(each)) == 0  # counts the item
+                yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(each), k, np.int64)), "shingle": pa.array(each), "first": pa.array(first)})
+
+    held = stored(rows.select(part.alias("part"), "text").mapInArrow(own, "part bigint, shingle bigint, first boolean"), "held")
+    spread = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    return held.filter("first").count(), stored(held.select("part", "shingle").distinct().join(spread, "shingle"), "holders")
+
+
 def _blocks(benchmark: DataFrame, items: int):
-    """Broadcast indexes over at most ``items`` items each; item ids are in no block twice."""
+    """Broadcast blocks of at most ``items`` items each, with the whole benchmark's counts; item ids are in no block twice."""
     spark = benchmark.sparkSession
     rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text")
     total = rows.count()
     parts = max(1, -(-total // items))
+    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
+    counted, holders = _holders(rows, part) if parts > 1 else (0, None)
     for k in range(parts):
         # a hash share may be a little over ``items``; it is bounded all the same
-        own = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        yield spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in own.collect()))
+        own, whole = rows if parts == 1 else rows.filter(part == k), None
+        if parts > 1:
+            found = holders.filter(F.col("part") == k).select("shingle", "n").toArrow()
+            known, n = (found.column(c).to_numpy() for c in ("shingle", "n"))
+            whole = counted, n[np.argsort(known.view(np.uint64))].astype(np.int64).tobytes()
+        yield spark.sparkContext.broadcast((sorted((r.item_id, r.text) for r in own.collect()), whole))
 
 
 _LAST: list = [None, None]
 
 
-def _index(rows) -> Index:
+def _index(block) -> Index:
     """The index of a broadcast block, built once in a worker process."""
-    if _LAST[0] != rows.value:
-        _LAST[:] = [rows.value, Index(rows.value)]
+    if _LAST[0] != block.value:
+        rows, whole = block.value
+        _LAST[:] = [block.value, Index(rows, whole and (whole[0], np.frombuffer(whole[1], np.int64)))]
     return _LAST[1]
 
 
