@@ -2,19 +2,57 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: list[str] = []
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the cluster's ``spark.checkpoint.dir``; a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A fresh path below the folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where the setting is absent and the session runs on this machine alone (a ``local`` master, as
+    in tests) a temporary folder is used, which goes when the program ends. On a cluster the setting
+    is needed: executors do not share a machine's folders.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir names no shared folder, and {master} has executors on other machines")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="steps-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], True)
+        base = f"file://{_LOCAL[0]}"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system, wherever it lies."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write and read again: the plan ends here, and a lost executor costs nothing written."""
-    path = scratch(df.sparkSession, label)
+    """Write and read again: the plan ends here, and a lost executor costs nothing written.
+
+    ``discard`` removes what was written once nothing reads it any more.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(*steps: DataFrame) -> None:
+    """Remove the files of ``stored`` steps whose readers have all been written themselves."""
+    for step in steps:
+        if path := getattr(step, "_stored_at", None):
+            remove_dir(step.sparkSession, path)
