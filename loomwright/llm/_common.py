@@ -6,7 +6,6 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -43,31 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below the folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, a single machine) a folder in /tmp is set as the
-    session's checkpoint folder first.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def remove_dir(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, wherever it lies."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(df: DataFrame) -> int:
     """Shuffle width of the session, at least 2 per core."""
     spark = df.sparkSession

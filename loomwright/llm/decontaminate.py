@@ -3,17 +3,23 @@
 Words are lower-cased runs of letters and digits. For each length L of a benchmark item every
 window of L words of a document that can still reach the threshold is fingerprinted (64-bit
 SimHash over its words); a document of fewer than L words is one window as a whole.
-Fingerprints are split into 8 blocks of 8 bits; two within ``RADIUS`` differ by at most ``RADIUS // 8`` bits in some block, so tables of the items by block value
-(all values within that many bits) return every item within the radius. Candidates are then
-verified: the similarity of window and item is the weighted Dice coefficient of their 5-word
-shingles, repeats counted, a shingle's weight ln(1 + items / items that hold it); a match
-needs ``THRESHOLD`` or more.
+Fingerprints are split into 5 blocks of 13 or 12 bits; two within ``RADIUS`` differ by at most
+``RADIUS // 5`` bits in some block, so tables of the items by block value (all values within that
+many bits) return every item within the radius. Candidates are then verified: the similarity of
+window and item is the weighted Dice coefficient of their 5-word shingles, repeats counted, a
+shingle's weight ln(1 + items / items that hold it); a match needs ``THRESHOLD`` or more.
 
 Windows that cannot pass are skipped without loss: a match needs two thirds of the item's
-weight in shingles that the benchmark knows. Items with fewer than 5 words have no shingle and
-are ignored, as are null texts; documents that are null or empty match nothing. Items are taken
-in blocks of ``ITEMS`` (one scan of the documents for each), so what goes to the executors is
-bounded however large the benchmark is; weights are those of the whole benchmark in every block.
+weight in shingles that the benchmark knows. An item of 1 to 4 words is one shingle as a whole
+and matches where its words stand in a row. Items without a word and null items are ignored;
+documents that are null or empty match nothing. Items are taken in blocks of at most about
+``ITEMS`` and ``ITEM_BYTES`` (one scan of the documents for each); a block is sent out, used and
+dropped before the next, so neither driver nor executors hold the whole benchmark. Weights are
+those of the whole benchmark in every block.
+
+Very long texts are read whole. Of equally similar windows (ties) the first is reported; repeated
+rows are judged each, repeated items of one id as one id. Empty tables on either side match
+nothing. ``clean`` passes other columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ..functions.storage import stored
 from ._words import shingles, word_hashes, word_hashes_of
 
 SIZE, THRESHOLD = 5, 0.8
-BLOCKS, WIDTH, RADIUS = 8, 8, 23
-#: Items in one pass over the documents.
-ITEMS = 20_000
+#: Bits of the blocks of a fingerprint; recall on changed passages is measured in the tests.
+WIDTHS, RADIUS = (13, 13, 13, 13, 12), 19
+#: Items, and bytes of their texts, in one pass over the documents.
+ITEMS, ITEM_BYTES = 10_000, 1 << 26
 #: Windows fingerprinted together.
 TOGETHER = 4096
 
@@ -43,28 +50,44 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 
 
 def _packed(votes: np.ndarray) -> np.ndarray:
-    return np.packbits(votes > 0, axis=1)  # 8 bytes a row: the blocks
+    return np.packbits(votes > 0, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def _blocks_of(prints: np.ndarray) -> list[np.ndarray]:
+    """The value of each block of fingerprints."""
+    out, at = [], 64
+    for width in WIDTHS:
+        at -= width
+        out.append((prints >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64))
+    return out
+
+
+#: Differences of a block that one within the radius has in some block.
+_MASKS = {w: np.array([sum(1 << x for x in c) for k in range(RADIUS // len(WIDTHS) + 1) for c in combinations(range(w), k)]) for w in set(WIDTHS)}
 
 
 class Length:
     """The items of one length, with their block tables."""
 
-    def __init__(self, items: list, masks: np.ndarray):
+    def __init__(self, items: list):
         self.items = items
         self.prints = np.concatenate([_packed(_bits(i["words"]).sum(0, keepdims=True)) for i in items])
         self.least = min(i["weight"] for i in items)
-        self.table = np.zeros((BLOCKS, 1 << WIDTH, -(-len(items) // 8)), np.uint8)
-        for at in range(len(items)):
-            for b in range(BLOCKS):
-                self.table[b, masks ^ self.prints[at, b], at >> 3] |= np.uint8(128 >> (at & 7))
+        self.tables = []
+        for width, values in zip(WIDTHS, _blocks_of(self.prints)):
+            masks = _MASKS[width]
+            table = np.zeros((1 << width, -(-len(items) // 8)), np.uint8)
+            for at, value in enumerate(values.tolist()):
+                table[masks ^ value, at >> 3] |= np.uint8(128 >> (at & 7))
+            self.tables.append(table)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs within the radius."""
-        met = self.table[0][prints[:, 0]]
-        for b in range(1, BLOCKS):
-            met = met | self.table[b][prints[:, b]]
+        met = np.zeros((len(prints), self.tables[0].shape[1]), np.uint8)
+        for table, values in zip(self.tables, _blocks_of(prints)):
+            met |= table[values]
         window, item = np.nonzero(np.unpackbits(met, axis=1)[:, : len(self.items)])
-        close = np.bitwise_count(prints[window] ^ self.prints[item]).sum(1) <= RADIUS
+        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
         return window[close], item[close]
 
 
@@ -76,11 +99,14 @@ class Index:
     """
 
     def __init__(self, rows: list[tuple[int, str]], whole: tuple[int, np.ndarray] | None = None):
-        items = []
+        items, self.short = [], {}
         for item_id, text in rows:
             words = word_hashes(text)
             if len(words) >= SIZE:
                 items.append({"id": item_id, "words": words, "shingles": shingles(words, SIZE)})
+            elif len(words):  # one shingle: its hash -> the ids
+                self.short.setdefault(len(words), {}).setdefault(int(shingles(words, len(words))[0]), set()).add(item_id)
+        self.short = {n: (np.array(sorted(x), np.uint64), x) for n, x in self.short.items()}
         each = [np.unique(i["shingles"]) for i in items]
         self.known, spread = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_counts=True)
         total, spread = whole or (len(items), spread)
@@ -88,13 +114,12 @@ class Index:
         self.shift = np.uint64(64 - max(16, int(np.ceil(np.log2(16 * max(1, len(self.known)))))))
         self.seen = np.zeros(1 << int(64 - self.shift), np.bool_)
         self.seen[self.known >> self.shift] = True
-        masks = np.array([sum(1 << x for x in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(WIDTH), k)], np.uint8)
         by: dict[int, list] = {}
         for i in items:
             i["own"], i["count"] = np.unique(i["shingles"], return_counts=True)
             i["weight"] = float(self.weigh(i["shingles"]).sum())
             by.setdefault(len(i["words"]), []).append(i)
-        self.lengths = {n: Length(x, masks) for n, x in sorted(by.items())}
+        self.lengths = {n: Length(x) for n, x in sorted(by.items())}
 
     def weigh(self, some: np.ndarray) -> np.ndarray:
         """Weights of shingles; what no item holds weighs most."""
@@ -111,6 +136,13 @@ class Index:
         """``matches`` of each text; the texts' words are hashed together."""
         best: list[dict] = [{} for _ in texts]
         words, begins = word_hashes_of(texts)
+        for n, (hashes, ids) in self.short.items():
+            runs = shingles(words, n)
+            for at in np.flatnonzero(np.isin(runs, hashes)).tolist():
+                k = int(np.searchsorted(begins, at, "right")) - 1
+                if at + n <= begins[k + 1]:  # of one text
+                    for item in ids[int(runs[at])]:
+                        best[k].setdefault(item, (1.0, at - int(begins[k]), n))
         own = shingles(words, SIZE)
         hits = np.flatnonzero(self.seen[own >> self.shift])
         if not len(hits) or not len(self.known):
@@ -175,7 +207,7 @@ class Index:
 
 
 def _holders(rows: DataFrame, part) -> tuple[int, DataFrame]:
-    """The number of items that have shingles, and (part, shingle, n): of each part's shingles the items of all parts that hold them."""
+    """The number of items of ``SIZE`` words or more, and (part, shingle, n): of each part's shingles the items of all parts that hold them."""
 
     def own(batches):
         for batch in batches:
@@ -189,12 +221,11 @@ def _holders(rows: DataFrame, part) -> tuple[int, DataFrame]:
     return held.filter("first").count(), stored(held.select("part", "shingle").distinct().join(spread, "shingle"), "holders")
 
 
-def _blocks(benchmark: DataFrame, items: int):
-    """Broadcast blocks of at most ``items`` items each, with the whole benchmark's counts; item ids are in no block twice."""
-    spark = benchmark.sparkSession
+def _shares(benchmark: DataFrame, items: int):
+    """Blocks of about ``items`` items and ``ITEM_BYTES`` at most, one after the other, with the whole benchmark's counts; an id is in one block."""
     rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text")
-    total = rows.count()
-    parts = max(1, -(-total // items))
+    total, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-total // items), -(-size // ITEM_BYTES))
     part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
     counted, holders = _holders(rows, part) if parts > 1 else (0, None)
     for k in range(parts):
@@ -204,7 +235,7 @@ def _blocks(benchmark: DataFrame, items: int):
             found = holders.filter(F.col("part") == k).select("shingle", "n").toArrow()
             known, n = (found.column(c).to_numpy() for c in ("shingle", "n"))
             whole = counted, n[np.argsort(known.view(np.uint64))].astype(np.int64).tobytes()
-        yield spark.sparkContext.broadcast((sorted((r.item_id, r.text) for r in own.collect()), whole))
+        yield k + 1 == parts, (sorted((r.item_id, r.text) for r in own.collect()), whole)
 
 
 _LAST: list = [None, None]
@@ -246,14 +277,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFr
 
         return run
 
-    some = docs.select(F.col("doc_id").cast("bigint"), "text")
-    found = [some.mapInArrow(search(rows), "doc_id bigint, item_id bigint, similarity double, start_word bigint, n_words int") for rows in _blocks(benchmark, items)]
+    some, found, context = docs.select(F.col("doc_id").cast("bigint"), "text"), [], docs.sparkSession.sparkContext
+    for last, block in _shares(benchmark, items):
+        rows = context.broadcast(block)
+        met = some.mapInArrow(search(rows), "doc_id bigint, item_id bigint, similarity double, start_word bigint, n_words int")
+        if not last:  # its rows are written, so the block can go before the next comes
+            met = stored(met, "matches")
+            rows.destroy()
+        found.append(met)
     return reduce(DataFrame.unionByName, found)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """``docs`` without the rows that match an item; no row moves between executors."""
-    for rows in _blocks(benchmark, items):
+    for last, block in _shares(benchmark, items):
+        rows = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(rows=rows):
             @F.arrow_udf("boolean")
@@ -264,6 +302,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFram
             return leaks
 
         docs = docs.filter(~make()(F.col("text")))
+        if not last:
+            docs = stored(docs, "cleaned")
+            rows.destroy()
     return docs
 
 

@@ -7,14 +7,15 @@ the score is the winner's share of exp(-loss), and a small lead over the second
 ambiguity. With up to 7 languages all distinct splits are used (an exhaustive code), beyond
 that random splits with a fixed seed, well over ten per doubling of the languages.
 
-``und`` is given to nulls and to texts without a letter, with score 0. Without any labelled
-document every text is ``und``. Repeated rows get equal answers.
+``und`` is given to nulls, empty texts and texts without a letter (Unicode category L), with
+score 0. Without any labelled document every text is ``und``, and an empty table gives an empty
+result. Very long texts are read whole, in pieces. Ties between languages go to the first in
+order of name. Repeated rows get equal answers; in the sample an id counts once in a language.
+Only doc_id, lang and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +24,12 @@ from ._common import held_out, map_rows
 from ._linear import Rows, minimize, ngram_slots, sigmoid
 
 ORDERS, BITS = (1, 2, 3), 15
-#: At most so many documents of each language are used for learning, in hash order of their ids.
-TRAIN_PER_LANGUAGE = 500
+#: At most about so many documents of each language, and of all, are used for learning, in hash order of their ids.
+TRAIN_PER_LANGUAGE, TRAIN_ROWS = 500, 8000
+#: At most so many languages, the most frequent (ties: by name), are learned.
+LANGUAGES = 250
 #: A lead of less than this share of the score flags an ambiguous text.
 AMBIGUOUS = 0.2
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def codewords(classes: int) -> np.ndarray:
@@ -87,7 +89,7 @@ class OutputCodes:
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, ambiguous)"""
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not any(map(str.isalpha, text)):
             return "und", 0.0, False
         margins = frequencies(text) @ self.weights + self.bias
         losses = np.logaddexp(0, -self.code * margins) @ self.trust
@@ -103,7 +105,9 @@ def fit(docs: DataFrame, usable=None, per_language: int = TRAIN_PER_LANGUAGE) ->
     known = docs.filter("lang is not null and doc_id is not null")
     known = (known if usable is None else known.filter(usable)).select("doc_id", "lang", "text")
     # the least hash values of each language: the threshold needs only counts, no sort of a language's rows
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r.lang: r.n for r in most.collect()}
+    per_language = min(per_language, TRAIN_ROWS // max(1, len(counts)))
     room = F.lit(False)
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     for lang, n in counts.items():
@@ -117,8 +121,10 @@ def fit(docs: DataFrame, usable=None, per_language: int = TRAIN_PER_LANGUAGE) ->
 
         return one
 
-    got = map_rows(known.filter(room), make, "doc_id bigint, lang string, slots binary, x binary").collect()
-    got.sort(key=lambda r: (r.doc_id, r.lang, r.slots, r.x))
+    # an id counts once in a language (the least text), so repeated rows do not add to what is collected
+    sample = known.filter(room).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    got = map_rows(sample, make, "doc_id bigint, lang string, slots binary, x binary").collect()
+    got.sort(key=lambda r: (r.doc_id, r.lang))
     return OutputCodes.fit(
         [np.frombuffer(r.slots, np.int32) for r in got], [np.frombuffer(r.x, np.float32) for r in got], [r.lang for r in got]
     )

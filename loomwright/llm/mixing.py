@@ -9,9 +9,16 @@ slot before a source runs out, each source is less than one block away from its
 
 All rows are kept: when a source has run out its slots stay empty and the others go on at
 their relative weights; ``in_target`` marks slots before the first such gap. Null and empty
-sources are one source, ''. Sources that ``weights`` does not name weigh ``other``. Rows are
-numbered in buckets of the order key whose count follows the session's partitions, so a source
-with a third of all rows is no single task. Rows with equal doc_id follow each other in any order.
+sources are one source, ''. Sources that ``weights`` does not name weigh ``other``; they are
+scheduled together, as runs of their ranks in order of name, so the driver holds the named
+sources' slots only, however many sources there are. Rows are numbered in buckets of the order
+key whose count follows the session's partitions, so a source with a third of all rows is no
+single task.
+
+Rows with equal doc_id (repeated or null ids, ties) follow each other in any order. Texts, of any
+length, are never read. An empty table gives an empty result. The caller's columns travel as one
+struct, so their names matter only where they are ``block``, ``slot``, ``place`` or ``in_target``:
+these four are replaced by the results.
 """
 
 from __future__ import annotations
@@ -22,33 +29,84 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from ._common import partitions
 
 #: Production parameters of the query.
 WEIGHTS = {"src0": 4, "src1": 3, "src2": 2}
 OTHER, BLOCK_ROWS = 1, 64
-#: The period (sum of the integer weights) may not be longer; it is what the driver lays out.
-LONGEST_PERIOD = 1_000_000
+#: The weights that the caller names may not add up to more: their slots are laid out on the driver.
+MOST_WEIGHT = 1_000_000
+_RESULTS = ("block", "slot", "place", "in_target")
 
 
-def period(weights: dict[str, int]) -> dict[str, list[int]]:
-    """Slots, in one period, of each source's blocks: earliest deadline first."""
-    total = sum(weights.values())
-    if total > LONGEST_PERIOD or any(n < 1 for n in weights.values()):
-        raise ValueError(f"weights must be positive integers with a sum of at most {LONGEST_PERIOD}")
+def schedule(weights: dict[str, int], other: int = 1, unnamed: int = 0, before: dict[str, int] | None = None):
+    """(slots of each named source's blocks in one period, rounds of the unnamed ones, the period).
+
+    ``unnamed`` sources weigh ``other`` each; ``before`` counts those whose name is less than a named
+    source's. They have the same releases and deadlines, so block j of all of them is a round, of
+    which runs of ranks take runs of slots: (first rank, first slot) in order of rank.
+    """
+    if any(n < 1 for n in (*weights.values(), other)) or sum(weights.values()) > MOST_WEIGHT:
+        raise ValueError(f"weights must be positive integers with a sum of at most {MOST_WEIGHT}")
+    total, before = sum(weights.values()) + other * unnamed, before or {}
     slots: dict[str, list[int]] = {s: [] for s in weights}
     waiting = [(0, s, 0) for s in sorted(weights)]  # (release, source, block)
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []  # (deadline, source, block)
-    for slot in range(total):
+    rounds: list[list[tuple[int, int]]] = [[] for _ in range(other if unnamed else 0)]
+    opened, turn, rank, slot = 0, 0, 0, 0  # rounds released, the round that runs, its next rank
+    while slot < total:
         while waiting and waiting[0][0] <= slot:
             _, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), s, j))
-        _, s, j = heapq.heappop(ready)
-        slots[s].append(slot)
-        if j + 1 < weights[s]:
-            heapq.heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
-    return slots
+        while opened < len(rounds) and opened * total // other <= slot:
+            opened += 1
+        due = -(-(turn + 1) * total // other) if turn < opened else None
+        if ready and (due is None or ready[0][0] < due or ready[0][0] == due and before.get(ready[0][1], 0) <= rank):
+            _, s, j = heapq.heappop(ready)
+            slots[s].append(slot)
+            if j + 1 < weights[s]:
+                heapq.heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
+            slot += 1
+            continue
+        room = [unnamed - rank, *([waiting[0][0] - slot] if waiting else []), *([before.get(ready[0][1], 0) - rank] if ready and ready[0][0] == due else [])]
+        rounds[turn].append((rank, slot))
+        rank, slot = rank + min(room), slot + min(room)
+        if rank == unnamed:
+            turn, rank = turn + 1, 0
+    return slots, rounds, total
+
+
+def period(weights: dict[str, int]) -> dict[str, list[int]]:
+    """Slots, in one period, of each source's blocks: earliest deadline first."""
+    return schedule(weights)[0]
+
+
+def _plan(sizes: DataFrame, weights: dict[str, int], other: int, block_rows: int) -> tuple[DataFrame, int, int]:
+    """(s, n, slots) of every source; the period; the first slot that a source leaves empty."""
+    spark, named = sizes.sparkSession, sorted(weights)
+    sizes = stored(sizes, "sources")
+    found = sizes.filter(F.col("s").isin(named)).select("s").collect()  # no more than the caller names
+    own = {r.s: weights[r.s] for r in found}
+    rest = sizes.filter(~F.col("s").isin(named)) if named else sizes
+    counts = rest.agg(F.count(F.lit(1)), *[F.count_if(F.col("s") < s) for s in own]).first()
+    slots, rounds, total = schedule(own, other, counts[0], dict(zip(own, counts[1:])))
+    plan = spark.createDataFrame([(s, n, slots[s]) for s, n in own.items()], "s string, n bigint, slots array<bigint>")
+    # ranks of the others: sorted by ranges, counted a range; one row a range comes before
+    ranged = stored(rest.select("s").repartitionByRange(partitions(sizes), "s").select("s", F.spark_partition_id().alias("part")), "source-ranges")
+    ahead = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+    ahead = ahead.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    rank = F.col("ahead") + F.row_number().over(Window.partitionBy("part").orderBy("s")) - 1
+    ranked = ranged.join(ahead, "part").select("s", rank.alias("rank"))
+    runs = spark.createDataFrame([(rounds,)], "rounds array<array<struct<rank:bigint,slot:bigint>>>")  # one row
+    last = F.transform("rounds", lambda own: F.element_at(F.filter(own, lambda x: x["rank"] <= F.col("rank")), -1))
+    others = ranked.crossJoin(F.broadcast(runs)).select("s", F.lit(other).cast("bigint").alias("n"), F.transform(last, lambda x: x["slot"] + F.col("rank") - x["rank"]).alias("slots"))
+    plan = stored(plan.unionByName(others), "schedule")
+    blocks = F.expr(f"(rows + {block_rows - 1}) div {block_rows}")
+    empty = F.expr("blocks div n") * F.lit(total).cast("bigint") + F.element_at("slots", (F.col("blocks") % F.col("n") + 1).cast("int"))
+    gap = plan.join(sizes.withColumn("blocks", blocks), "s").agg(F.coalesce(F.min(empty), F.lit(0))).first()[0]
+    return plan, total, gap
 
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, other: int = OTHER, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -56,30 +114,22 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, other: int = OTH
 
     Ordered by (slot, place) the rows are the mixture.
     """
-    weights, spark = WEIGHTS if weights is None else weights, docs.sparkSession
-    name = F.coalesce(F.col("source"), F.lit(""))
-    sizes = {r.s: r.n for r in docs.groupBy(name.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    own = {s: weights.get(s, other) for s in sizes}
-    slots, total = period(own) if own else {}, sum(own.values())
-    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    gap = min((blocks[s] // own[s] * total + slots[s][blocks[s] % own[s]] for s in own), default=0)
-    plan = spark.createDataFrame([(s, n, slots[s]) for s, n in own.items()], "_s string, _n bigint, _slots array<bigint>")
+    weights, kept = WEIGHTS if weights is None else weights, [c for c in docs.columns if c not in _RESULTS]
+    name, id_ = F.coalesce(F.col("source"), F.lit("")), F.col("doc_id")
+    plan, total, gap = _plan(docs.groupBy(name.alias("s")).agg(F.count(F.lit(1)).alias("rows")), weights, other, block_rows)
 
     digits = math.ceil(math.log(16 * partitions(docs), 16))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    keyed = docs.withColumns({"_s": name, "_key": key}).withColumn("_part", F.substring("_key", 1, digits))
-    tally = docs.select(name.alias("_s"), F.substring(key, 1, digits).alias("_part")).groupBy("_s", "_part").agg(F.count(F.lit(1)).alias("_rows"))
-    ahead = Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    tally = tally.select("_s", "_part", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_ahead"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_part").orderBy("_key", "doc_id")))
-    placed = ranked.join(tally, ["_s", "_part"]).withColumn("_at", F.col("_ahead") + F.col("_rank") - 1)
-    # one row a source, their slots at most LONGEST_PERIOD numbers: safe to broadcast
-    placed = placed.join(F.broadcast(plan), "_s").withColumn("_block", F.expr(f"_at div {block_rows}"))
-    slot = F.expr("(_block div _n)") * F.lit(total).cast("bigint") + F.element_at("_slots", (F.col("_block") % F.col("_n") + 1).cast("int"))
-    return placed.select(
-        *[c for c in docs.columns if c not in ("block", "slot", "place", "in_target")],
-        F.col("_block").alias("block"), slot.alias("slot"), (F.col("_at") % block_rows).alias("place"),
-    ).withColumn("in_target", F.col("slot") < gap)
+    key = F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), id_.alias("id"), name.alias("s"), key.alias("key"), F.substring(key, 1, digits).alias("part"))
+    tally = docs.select(name.alias("s"), F.substring(key, 1, digits).alias("part")).groupBy("s", "part").agg(F.count(F.lit(1)).alias("k"))
+    before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tally = tally.select("s", "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("ahead")).join(plan, "s")
+    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("s", "part").orderBy("key", "id")))
+    # a source has a row a bucket in ``tally``, so the hot one is as many keys as there are buckets
+    placed = ranked.join(tally, ["s", "part"]).withColumn("at", F.col("ahead") + F.col("rank") - 1).withColumn("own", F.expr(f"at div {block_rows}"))
+    slot = F.expr("(own div n)") * F.lit(total).cast("bigint") + F.element_at("slots", (F.col("own") % F.col("n") + 1).cast("int"))
+    placed = placed.select("row", F.struct(F.col("own").alias("block"), slot.alias("slot"), (F.col("at") % block_rows).alias("place"), (slot < gap).alias("in_target")).alias("to"))
+    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "to.*")
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -7,8 +7,12 @@ model P(a over b) = sigmoid(w . (x_a - x_b)) is fitted by logistic loss on the d
 The cut is the quantile of the training scores at the share of label 0; the score returned
 is a logistic curve of (w . x - cut) that passes through ``CUT_SCORE`` at the cut.
 
-Nulls and empty texts have the features of a text without characters. Repeated labels of a
-document count once, label 1 first. With labels of one class only every document gets that class.
+Nulls and empty texts have the features of a text without characters. Very long texts are read
+whole. Repeated labels of a document count once, label 1 first; of repeated rows of an id the
+least text is learned from, and all are scored. Documents of the sample are taken in hash order
+(ties: by id); equal texts have equal scores, and a score of the cut passes. With labels of one
+class only every document gets that class, without labels all score 0.5 and are kept. Empty tables
+give empty results. ``keep_good`` passes other columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -97,9 +101,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, rows: int = TRAIN_ROWS)
     one = one if usable is None else one.filter(usable)
     some = one.groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most ``rows`` pairs of numbers: safe to send to every executor
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "y")
+    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = sample.select("doc_id", "text", "y")
     got = map_rows(sample, lambda: lambda i, text, y: (i, y, features(text).tobytes()), "doc_id bigint, y int, x binary").collect()
-    got = sorted({r.doc_id: r for r in got}.values(), key=lambda r: r.doc_id)
+    got.sort(key=lambda r: r.doc_id)
     x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float64)
     return BradleyTerry.fit(x, np.array([r.y for r in got]))
 
@@ -123,8 +128,7 @@ def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; all columns stay, and repeated rows too."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    marked = docs.withColumn("_quality", _score_column(model)(F.col("text")))
-    return marked.filter(F.col("_quality") >= CUT_SCORE).drop("_quality")
+    return docs.filter(_score_column(model)(F.col("text")) >= CUT_SCORE)
 
 
 def _score_column(model):

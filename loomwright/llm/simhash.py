@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._common import map_rows, stored
+from ..functions.storage import stored
+from ._common import map_rows
 
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 2
 #: Shingles hashed and counted together; memory does not follow a text's length beyond its words.

@@ -19,7 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions, stored
+from ..functions.storage import stored
+from ._common import partitions
 
 #: Common words of English, French, German and Spanish that start a spot.
 ANCHORS = (
@@ -38,23 +39,42 @@ COMMON = (
 CHAIN = 2
 
 
-def _either(words) -> str:
-    return "(?:" + "|".join(sorted(set(words), key=lambda w: (-len(w), w))) + ")"
+#: Marks an anchor in the line of words that the patterns below read; no word holds it.
+_MARK = "\x01"
+_GAP, _CONTENT = f"(?:{_MARK}[^ ]+ )", f"[^ {_MARK}]+ "
+#: A run of anchors; its group, empty if the text ends before, goes on to the ``CHAIN``-th content word. A word is read ``CHAIN + 1`` times at most.
+_RUN = f"(?:(?=({_GAP}++{_CONTENT}" + f"{_GAP}*+{_CONTENT}" * (CHAIN - 1) + f"))|){_GAP}++"
 
 
-_STOP = _either([*ANCHORS, *COMMON])
-_SPOT = f" (?=({_either(ANCHORS)}" + f" (?:{_STOP} )*+[^ ]+" * CHAIN + ") )"
-_PAIR = " (?=([^ ]+ [^ ]+) )"
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def signatures(text: Column) -> Column:
     """The sorted set of a text's signature hashes (array of longs)."""
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    plain = F.regexp_replace(plain, "  +", " ")
-    spots = F.transform(F.regexp_extract_all(plain, F.lit(_SPOT), F.lit(1)), lambda s: F.xxhash64(F.regexp_replace(s, f" {_STOP}(?= )", "")))
-    pairs = F.transform(F.regexp_extract_all(plain, F.lit(_PAIR), F.lit(1)), lambda s: F.xxhash64(s))
-    first = F.when(plain.rlike(_SPOT), spots).when(plain.rlike(_PAIR), pairs).otherwise(F.array(F.xxhash64(F.trim(plain))))
-    return F.sort_array(F.array_distinct(first))
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return let(words, _of_words)
+
+
+def _of_words(words: Column) -> Column:
+    others = [w for w in COMMON if w not in ANCHORS]
+    marked = F.transform(words, lambda w: F.when(w.isin(ANCHORS), F.concat(F.lit(_MARK), w)).when(~w.isin(others), w))
+    line = F.concat(F.array_join(marked, " "), F.lit(" "))  # nulls, the other common words, are left out
+    runs = F.filter(F.regexp_extract_all(line, F.lit(_RUN), F.lit(1)), lambda r: r != "")
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b)))
+    single = F.array(F.xxhash64(F.array_join(words, " ")))
+    found = let(runs, lambda own: F.when(F.size(own) > 0, F.flatten(F.transform(own, _of_run))).when(rest > 0, pairs).otherwise(single))
+    return F.sort_array(F.array_distinct(found))
+
+
+def _of_run(run: Column) -> Column:
+    """Anchors in a row and the content words after them -> a hash for each different anchor before them."""
+    chain = F.rtrim(F.regexp_replace(run, _GAP, ""))
+    lead = F.translate(F.regexp_extract(run, f"^{_GAP}++", 0), _MARK, "")
+    anchors = F.array_distinct(F.split(F.rtrim(lead), " "))
+    return F.transform(anchors, lambda a: F.xxhash64(F.concat_ws(" ", a, chain)))
 
 
 def printed(signs: Column) -> Column:

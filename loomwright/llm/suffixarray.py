@@ -8,17 +8,29 @@ order from the smaller suffixes already placed. Nothing is renamed and there is
 
 Distribution. A string of ``Shape.length`` bytes has an anchor, its 32-byte gram of least hash, at the same
 place wherever the string starts. (1) The anchors of all documents are counted with a hash of
-their whole context (all strings around the anchor): a context that occurs twice is repeated
-throughout; an anchor whose contexts differ is open. (2) One copy of every open context is cut
-out of its document and gathered by anchor. (3) The contexts of a task, as blocks of 64 bytes
-counted from the anchor, go into a suffix array; suffixes that share five blocks with a
-neighbour in the order hold the candidate strings, and 64-bit hashes of the candidate strings
-inside one anchor decide. (4) The covered bytes are joined to the documents and cut out.
-
-An anchor with more than ``GROUP`` open contexts is not gathered: its strings are counted by hash,
-with partial counts before the shuffle, which is exact at any size. Matches never cross
-documents. Nulls and empty texts have no bytes and lose none. Rows are told apart by doc_id and
-text, so a row that repeats counts as another document, as the definition says.
+their whole context (all strings around the anchor). An anchor matters if a context of it occurs
+twice or two of its contexts differ. (2) One copy of each context that differs, two copies, from
+two places, of each that occurs twice, are cut out of their documents and dealt by anchor.
+(3) The contexts of a task, as blocks of 64 bytes counted from the anchor, go into suffix arrays;
+a string is a candidate if the suffix at its first whole block shares all its whole blocks with a
+neighbour in the order. Candidates meet by hash inside one anchor, and their bytes are compared.
+(4) The covered bytes are joined to the documents and cut out.
+
+An anchor with more than ``GROUP`` contexts is dealt by a second key as well, the block of bytes
+that its strings share (``_cells``), so that no anchor is one task; the suffix arrays then are
+those of the contexts that share it. Where even more contexts share that, the key is the whole
+string, and what has the same key is the same string. No size is left out.
+
+With ``Shape.words`` strings of that many whole words (runs of anything but ASCII white space),
+where they have at most ``Shape.length`` bytes and are whole words at both places, are found as
+well; ``report`` then adds columns for what both kinds cover, and the bytes that are removed stay
+those of the first kind.
+
+Matches never cross documents. Nulls and empty texts have no bytes and lose none. A text of any
+length is read in pieces of 32 KB. Rows are told apart by doc_id and text, so a row that repeats
+counts as another document, as the definition says; among equal places (ties) every one is
+covered. An empty table gives an empty result. Other columns, whatever their names, pass through
+``cut`` unchanged: the row travels as one struct.
 """
 
 from __future__ import annotations
@@ -32,18 +44,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._anchors import anchors
-from ._common import map_rows, partitions, settled, stored
+from ._anchors import NONSPACE, anchors, word_anchors
+from ..functions.storage import stored
+from ._common import map_rows, partitions, settled
 from ._words import _BACK, _BYTE, _POWER, mixed
 
 
 
 class Shape(NamedTuple):
-    """Bytes of a string, of its anchor's gram, and of the blocks that the suffix array sees."""
+    """Bytes of a string, of its anchor's gram, of the blocks that the suffix array sees; words of the shorter strings."""
 
     length: int = 400
     gram: int = 32
     block: int = 64
+    words: int | None = None
 
     @property
     def left(self) -> int:
@@ -51,16 +65,20 @@ class Shape(NamedTuple):
         return self.length - self.gram
 
     @property
-    def shared(self) -> int:
-        """Blocks, counted from the anchor, that every string holds whole."""
-        return (self.length - self.block + 1) // self.block
+    def width(self) -> int:
+        """Bytes of a context, laid out."""
+        return self.left + self.length
 
 
 SHAPE = Shape()
-#: Open contexts of one anchor that one task may gather.
-GROUP = 20_000
+#: The query's: passages of 50 words are reported besides.
+PASSAGES = Shape(words=50)
+#: Contexts of one key that one suffix array may take.
+GROUP = 512
 #: Contexts taken together into one suffix array.
-TOGETHER = 2048
+TOGETHER = 1024
+#: Strings of a hot anchor are dealt by where they begin and end, in steps of so many bytes.
+CELL = 46
 
 
 def suffix_order(symbols: list[int]) -> list[int]:
@@ -124,24 +142,32 @@ def suffix_order(symbols: list[int]) -> list[int]:
     return result[1:]
 
 
-def common_prefixes(symbols: list[int], order: list[int], most: int) -> list[int]:
-    """Symbols (at most ``most``) that each suffix of the order shares with the one before it."""
-    n, shared = len(symbols), [0] * len(symbols)
-    for at in range(1, n):
-        a, b = order[at - 1], order[at]
-        room, k = min(most, n - a, n - b), 0
-        while k < room and symbols[a + k] == symbols[b + k]:
-            k += 1
-        shared[at] = k
-    return shared
+def neighbour_prefixes(symbols: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Of each suffix: symbols (at most ``most``) that it shares with the closer of its neighbours in the order.
 
-
-def candidates(group: np.ndarray, left: np.ndarray, raw: np.ndarray, sizes: np.ndarray, shape: Shape = SHAPE) -> np.ndarray:
-    """Which (context, block before the anchor) begin ``shared`` blocks found twice in the contexts.
-
-    ``raw``: one context a row, its anchor at column ``left``. Result: contexts x blocks, boolean.
+    A symbol of 0 separates: it equals nothing.
+    """
+    n = len(symbols)
+    padded = np.append(symbols, np.zeros(most, symbols.dtype))
+    a, b = order[:-1], order[1:]
+    same, shared = np.ones(max(0, n - 1), np.bool_), np.zeros(max(0, n - 1), np.int64)
+    for k in range(most):
+        same &= (padded[a + k] == padded[b + k]) & (padded[a + k] > 0)
+        if not same.any():
+            break
+        shared += same
+    best = np.zeros(n, np.int64)
+    best[a] = shared
+    best[b] = np.maximum(best[b], shared)
+    return best
+
+
+def shared_blocks(group: np.ndarray, left: np.ndarray, raw: np.ndarray, sizes: np.ndarray, shape: Shape = SHAPE) -> np.ndarray:
+    """Contexts x blocks: how many blocks, from each on, another suffix of the suffix array shares most.
+
+    ``raw``: one context a row, its anchor at column ``left``; contexts of different groups share nothing.
     """
-    size, need = shape.block, shape.shared
+    size = shape.block
     n, before, after = len(raw), shape.left // size, shape.length // size
     blocks = before + after
     first = shape.left - before * size
@@ -155,102 +181,158 @@ def candidates(group: np.ndarray, left: np.ndarray, raw: np.ndarray, sizes: np.n
     symbols = np.zeros((n, blocks + 1), np.int64)
     symbols[:, :blocks][whole] = np.where(counts[ranks] > 1, ranks + 1, 0)
     flat = symbols.ravel()
-    # stretches without such a symbol that are long enough to hold a match
-    known = flat > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]]).astype(np.int8)))
-    starts, stops = edge[::2], edge[1::2]
-    long = stops - starts >= need
-    pieces = [np.append(np.arange(a, b), -1) for a, b in zip(starts[long], stops[long])]
-    found = np.zeros(flat.shape, np.bool_)
-    if pieces:
-        where = np.concatenate(pieces)
-        text = np.where(where >= 0, flat[where], 0).tolist()
-        order = suffix_order(text)
-        shared = np.array(common_prefixes(text, order, need))
-        # a separator in the shared part: not inside one context
-        whole_run = np.ones(len(text), np.bool_)
-        for k in range(need):
-            whole_run[: len(text) - k] &= where[k:] >= 0
-        whole_run[len(text) - need + 1 :] = False
-        order = np.array(order)
-        twice = np.zeros(len(text), np.bool_)
-        met = np.flatnonzero(shared >= need)
-        twice[order[met]] = twice[order[met - 1]] = True
-        found[where[twice & whole_run]] = True
-    return found.reshape(n, blocks + 1)[:, : before + 1]
-
-
-def string_hashes(raw: np.ndarray, offsets: np.ndarray, shape: Shape = SHAPE) -> np.ndarray:
-    """Hash of the string that starts ``offsets`` bytes before the anchor, each row."""
-    sums = np.zeros((len(raw), raw.shape[1] + 1), np.uint64)
-    np.cumsum(_BYTE[raw] * _POWER[: raw.shape[1]], axis=1, out=sums[:, 1:])
-    at = shape.left - offsets
-    return (sums[:, at + shape.length] - sums[:, at]) * _BACK[at]
+    known = np.flatnonzero((flat > 0) | np.append(False, flat[:-1] > 0))  # runs of symbols, a separator after each
+    found = np.zeros(flat.shape, np.int64)
+    if len(known):
+        text = flat[known]
+        found[known] = neighbour_prefixes(text, np.array(suffix_order(text.tolist())), blocks)
+    return found.reshape(n, blocks + 1)[:, :blocks]
 
 
 def laid(contexts: list[bytes], left: np.ndarray, shape: Shape = SHAPE) -> np.ndarray:
     """Contexts as rows, anchors in one column; what is missing at an end is zero."""
-    raw = np.zeros((len(contexts), shape.left + shape.length), np.uint8)
-    for k, (c, a) in enumerate(zip(contexts, left.tolist())):
-        raw[k, shape.left - a : shape.left - a + len(c)] = np.frombuffer(c, np.uint8)
-    return raw
+    size, zero = shape.width, bytes(shape.width)
+    rows = [zero[: shape.left - a] + c for c, a in zip(contexts, left.tolist())]
+    return np.frombuffer(b"".join(r + zero[: size - len(r)] for r in rows), np.uint8).reshape(len(contexts), size)
+
+
+def word_strings(raw: np.ndarray, left: np.ndarray, right: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, bytes before the anchor, bytes from it) of the strings of ``shape.words`` whole words around it."""
+    size = raw.shape[1]
+    column = np.arange(size)
+    inside = NONSPACE[raw] & (column >= shape.left - left[:, None]) & (column < shape.left + right[:, None])
+    edged = np.zeros((len(raw), size + 2), np.bool_)
+    edged[:, 1:-1] = inside
+    starts = np.flatnonzero((edged[:, 1:] & ~edged[:, :-1]).ravel())
+    ends = np.flatnonzero((edged[:, :-1] & ~edged[:, 1:]).ravel())
+    # a word cut off by the context's edge is no whole word: at the left as a start, at the right as an end
+    starts = starts[starts % (size + 1) > 0]
+    last = np.searchsorted(ends, starts, "right") + shape.words - 1
+    starts, last = starts[last < len(ends)], last[last < len(ends)]
+    row, until = starts // (size + 1), ends[last]
+    before, after = shape.left - starts % (size + 1), until % (size + 1) - shape.left
+    fits = (until // (size + 1) == row) & (before >= 0) & (after >= shape.gram) & (before + after <= shape.length) & (until % (size + 1) < size)
+    return row[fits], before[fits], after[fits]
+
+
+def strings_around(raw: np.ndarray, left: np.ndarray, right: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
+    """(context, bytes before the anchor, bytes from it, of words) of every string around the anchors."""
+    span = np.arange(shape.left + 1)
+    row, before = np.nonzero((span <= left[:, None]) & (shape.length - span <= right[:, None]))
+    after, words = shape.length - before, np.zeros(len(row), np.bool_)
+    if shape.words:
+        found = word_strings(raw, left, right, shape)
+        row, before, after = (np.concatenate(x) for x in zip((row, before, after), found))
+        words = np.append(words, np.ones(len(found[0]), np.bool_))
+    return row.astype(np.int32), before.astype(np.int32), after.astype(np.int32), words
+
+
+def prefix_sums(raw: np.ndarray) -> np.ndarray:
+    sums = np.zeros((len(raw), raw.shape[1] + 1), np.uint64)
+    np.cumsum(_BYTE[raw] * _POWER[: raw.shape[1]], axis=1, out=sums[:, 1:])
+    return sums
+
+
+def hashes_of(sums: np.ndarray, row: np.ndarray, before: np.ndarray, after: np.ndarray, shape: Shape) -> np.ndarray:
+    """A 64-bit hash of the bytes from ``before`` the anchor to ``after``, each row."""
+    return (sums[row, shape.left + after] - sums[row, shape.left - before]) * _BACK[shape.left - before]
 
 
-def repeated(group: np.ndarray, left: np.ndarray, contexts: list[bytes], shape: Shape = SHAPE):
-    """(context, from, to): bytes relative to the anchor that repeated strings cover."""
+def verified(raw: np.ndarray, left: np.ndarray, right: np.ndarray, row: np.ndarray, before: np.ndarray, after: np.ndarray, first: np.ndarray, shape: Shape) -> np.ndarray:
+    """Whether the bytes of each string are those of the string at the same place of context ``first``."""
+    pair, back = np.unique(row.astype(np.int64) << 32 | first, return_inverse=True)
+    a, b = pair >> 32, pair & 0xFFFFFFFF
+    back_to, on_to = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
+    for k in range(0, len(pair), 2048):
+        x, y = a[k : k + 2048], b[k : k + 2048]
+        differ = np.ones((len(x), shape.width + 2), np.bool_)
+        differ[:, 1:-1] = raw[x] != raw[y]
+        back_to[k : k + 2048] = np.argmax(differ[:, shape.left :: -1], axis=1)
+        on_to[k : k + 2048] = np.argmax(differ[:, shape.left + 1 :], axis=1)
+    back_to, on_to = np.minimum(back_to, np.minimum(left[a], left[b])), np.minimum(on_to, np.minimum(right[a], right[b]))
+    return (before <= back_to[back]) & (after <= on_to[back])
+
+
+def repeated(group: np.ndarray, left: np.ndarray, contexts: list[bytes], shape: Shape = SHAPE, cell: np.ndarray | None = None):
+    """(context, from, to, of words): bytes relative to the anchor that strings found in two contexts of a group cover.
+
+    ``cell``: of each context, the steps of ``CELL`` bytes where its strings begin and end; others are left aside.
+    """
     sizes, raw = np.array([len(c) for c in contexts]), laid(contexts, left, shape)
-    maybe = candidates(group, left, raw, sizes, shape)
-    before = shape.left // shape.block
-    rows, offsets, hashes = [], [], []
-    for b in range(before + 1):
-        own = np.flatnonzero(maybe[:, before - b])
-        span = np.arange(shape.block * b, min(shape.block * (b + 1), shape.left + 1))
-        for begin in range(0, len(own), 512):
-            some = own[begin : begin + 512]
-            value = string_hashes(raw[some], span, shape) + group[some, None]
-            inside = (span[None, :] <= left[some, None]) & (shape.length - span[None, :] <= (sizes - left)[some, None])
-            r, c = np.nonzero(inside)
-            rows.append(some[r].astype(np.int32))
-            offsets.append(span[c].astype(np.int16))
-            hashes.append(mixed(value[r, c]) + mixed(span[c].astype(np.uint64)))
-    if not rows:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-    rows, offsets, hashes = map(np.concatenate, (rows, offsets, hashes))
-    _, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    keep = counts[back] > 1
-    return runs(rows[keep], offsets[keep], shape.length)
-
-
-def runs(rows: np.ndarray, offsets: np.ndarray, length: int):
-    """Consecutive offsets of each row -> (row, from, to) relative to the anchor."""
-    if not len(rows):
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-    order = np.lexsort((offsets, rows))
-    rows, offsets = rows[order], offsets[order]
-    cut = np.flatnonzero((np.diff(rows) != 0) | (np.diff(offsets) != 1)) + 1
-    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(rows)]]) - 1
-    return rows[first], -offsets[last].astype(np.int64), length - offsets[first].astype(np.int64)
-
-
-_STRETCHES = "array<struct<a:int,b:int>>"
+    right = sizes - left
+    row, before, after, words = strings_around(raw, left, right, shape)
+    if cell is not None:
+        own = (before // CELL == cell[row, 0]) & (after // CELL == cell[row, 1])
+        row, before, after, words = row[own], before[own], after[own], words[own]
+    # the suffix at a string's first whole block must share the string's whole blocks
+    shared = shared_blocks(group, left, raw, sizes, shape)
+    ahead = before // shape.block
+    need = (after + ahead * shape.block) // shape.block
+    at = np.minimum(shape.left // shape.block - ahead, shared.shape[1] - 1)
+    maybe = (need <= 0) | (shared[row, at] >= need)
+    row, before, after, words = row[maybe], before[maybe], after[maybe], words[maybe]
+    none = np.zeros(0, np.int64)
+    if not len(row):
+        return none, none, none, none.astype(np.bool_)
+    key = mixed(hashes_of(prefix_sums(raw), row, before, after, shape) + group[row]) + mixed((before << 16 | after).astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    row, before, after, words, key = row[order], before[order], after[order], words[order], key[order]
+    lead = np.concatenate([[True], key[1:] != key[:-1]])
+    first = row[np.maximum.accumulate(np.where(lead, np.arange(len(row)), 0))]
+    other = (row != first).astype(np.int8)
+    same = other == 0
+    same[~same] = verified(raw, left, right, row[~same], before[~same], after[~same], first[~same], shape)
+    begins = np.flatnonzero(lead)
+    twice = np.repeat(np.add.reduceat(same & (other > 0), begins) > 0, np.diff(np.append(begins, len(row)))) & same
+    if not same.all():  # strings of equal hash and other bytes: told apart one by one
+        odd, seen = np.flatnonzero(~same), {}
+        for k in odd.tolist():
+            seen.setdefault((int(key[k]), raw[row[k], shape.left - before[k] : shape.left + after[k]].tobytes()), []).append(k)
+        for places in seen.values():
+            twice[places] = len(places) > 1
+    out = [covered(len(raw), row[own], before[own], after[own], shape) for own in (twice & ~words, twice & words)]
+    of = np.append(np.zeros(len(out[0][0]), np.bool_), np.ones(len(out[1][0]), np.bool_))
+    return (*(np.concatenate(x) for x in zip(*out)), of)
+
+
+def covered(n: int, row: np.ndarray, before: np.ndarray, after: np.ndarray, shape: Shape):
+    """Strings -> (context, from, to): what they cover, relative to the anchor."""
+    size = shape.width + 1
+    change = np.bincount(row * size + shape.left - before, minlength=n * size) - np.bincount(row * size + shape.left + after, minlength=n * size)
+    depth = np.append(0, np.cumsum(change))
+    begin, end = np.flatnonzero((depth[1:] > 0) & (depth[:-1] == 0)), np.flatnonzero((depth[1:] == 0) & (depth[:-1] > 0))
+    return begin // size, begin % size - shape.left, end % size - shape.left
+
+
+_STRETCHES = "array<struct<a:int,b:int,w:boolean>>"
 _KEYED = "rid binary, pos bigint, h bigint, cx bigint, left smallint, right smallint"
+_CONTEXT = pa.schema([("h", pa.int64()), ("cx", pa.int64()), ("copy", pa.int8()), ("left", pa.int16()), ("context", pa.binary())])
+_CONTEXT_SQL = "h bigint, cx bigint, copy tinyint, left smallint, context binary"
+_COVERED = f"h bigint, cx bigint, ab {_STRETCHES}"
+
+
+def _raws(texts) -> list[np.ndarray]:
+    return [np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
 
 
 def _anchor_rows(batches, shape: Shape):
+    names = ["rid", "pos", "h", "cx", "left", "right"]
     for batch in batches:
-        for rid, text in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-            for at, h, cx in anchors(raw, shape.length, shape.gram):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([rid] * len(at), pa.binary()), pa.array(at), pa.array(h.view(np.int64)), pa.array(cx.view(np.int64)),
-                        pa.array(np.minimum(at, shape.left).astype(np.int16)), pa.array(np.minimum(len(raw) - at, shape.length).astype(np.int16)),
-                    ],
-                    names=["rid", "pos", "h", "cx", "left", "right"],
+        for begin in range(0, batch.num_rows, 256):
+            rids, raws = batch.column(0).slice(begin, 256), _raws(batch.column(1).slice(begin, 256).to_pylist())
+            if shape.words:
+                found = word_anchors(raws, shape.length, shape.gram, shape.words)
+            else:
+                found = (
+                    (np.full(len(at), k), at, h, cx, np.minimum(at, shape.left), np.minimum(len(raw) - at, shape.length))
+                    for k, raw in enumerate(raws) for at, h, cx in anchors(raw, shape.length, shape.gram)
                 )
+            for of, at, h, cx, left, right in found:
+                columns = [rids.take(pa.array(of)), pa.array(at), pa.array(h.view(np.int64)), pa.array(cx.view(np.int64)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _joined(batches, rows: int = 1 << 16):
+def _joined(batches, rows: int = 1 << 15):
     """Small batches put together."""
     held, count = [], 0
     for batch in batches:
@@ -264,119 +346,185 @@ def _joined(batches, rows: int = 1 << 16):
 
 
 def _cut_out(batches, shape: Shape):
-    """text, open anchors -> their contexts."""
-    kind = pa.schema([("h", pa.int64()), ("cx", pa.int64()), ("left", pa.int16()), ("context", pa.binary())])
+    """text, places of anchors -> their contexts, a few hundred at a time."""
     for batch in batches:
-        rows = []
-        for text, spots in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            for s in spots:
-                rows.append((s["h"], s["cx"], min(s["pos"], shape.left), raw[max(0, s["pos"] - shape.left) : s["pos"] + shape.length]))
-                if len(rows) == 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+        for text, spots in zip(batch.column(0), batch.column(1)):
+            raw, rows = (text.as_py() or "").encode("utf-8", "surrogatepass"), []
+            for s in spots.as_py():
+                rows.append((s["h"], s["cx"], s["copy"], min(s["pos"], shape.left), raw[max(0, s["pos"] - shape.left) : s["pos"] + shape.length]))
+                if len(rows) == 512:
+                    yield _batch_of(rows, _CONTEXT)
                     rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+            if rows:
+                yield _batch_of(rows, _CONTEXT)
 
 
-def _gathered(batches, shape: Shape):
-    """Contexts sorted by anchor -> what is repeated, some whole anchors at a time."""
+def _batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    def solved(rows):
-        h, cx, left, contexts = zip(*rows)
-        row, a, b = repeated(np.array(h, np.int64).view(np.uint64), np.array(left, np.int64), list(contexts), shape)
+
+def _gathered(batches, shape: Shape):
+    """(key, h, cx, left, context, cell) sorted by key -> what is repeated, some whole keys at a time."""
+
+    def solved(parts):
+        batch = pa.concat_batches(parts)
+        key, h, cx, left = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        cell = batch.column(5).to_numpy(zero_copy_only=False)
+        cells = np.stack([cell >> 16, cell & 0xFFFF], axis=1) if len(cell) and cell.max() >= 0 else None
+        row, a, b, w = repeated(key.view(np.uint64), left.astype(np.int64), batch.column(4).to_pylist(), shape, cells)
+        order = np.argsort(row, kind="stable")
+        row, a, b, w = row[order], a[order], b[order], w[order]
         begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
         own, ends = row[begins], np.append(begins, len(row)).astype(np.int32)
-        stretches = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["a", "b"])
-        return pa.RecordBatch.from_pydict(
-            {"h": pa.array(np.array(h, np.int64)[own]), "cx": pa.array(np.array(cx, np.int64)[own]), "ab": pa.ListArray.from_arrays(pa.array(ends), stretches)}
-        )
+        stretches = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(w)], names=["a", "b", "w"])
+        out = pa.RecordBatch.from_pydict({"h": pa.array(h[own]), "cx": pa.array(cx[own]), "ab": pa.ListArray.from_arrays(pa.array(ends), stretches)})
+        # both copies of a context have the same answer
+        return out.take(pa.array(np.unique(mixed(h[own].view(np.uint64)) + cx[own].view(np.uint64), return_index=True)[1]))
+
+    held, count = [], 0
+    for batch in batches:
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.diff(key)) + 1
+        if held and len(key) and held[-1].column(0)[-1].as_py() != key[0]:
+            edges = np.append(0, edges)
+        last = 0
+        for edge in edges.tolist():  # a key is never split
+            if count + edge - last >= TOGETHER:
+                part = batch.slice(last, edge - last)
+                yield solved([*held, part] if part.num_rows else held)
+                held, count, last = [], 0, edge
+        if last < batch.num_rows:
+            held.append(batch.slice(last))
+            count += batch.num_rows - last
+    if held:
+        yield solved(held)
+
+
+def _cell_keys(key, sums, row, before, after, shape: Shape) -> np.ndarray:
+    """A key of each string: its anchor, its cell, and the bytes that all strings of the cell hold."""
+    a, b = before // CELL, after // CELL
+    value = hashes_of(sums, row, a * CELL, b * CELL, shape)
+    return mixed(value + key[row]) + mixed((a << 16 | b).astype(np.uint64))
 
-    rows: list[tuple] = []
+
+def _cells(batches, shape: Shape):
+    """Contexts of hot anchors -> (key, h, cx, copy, cell): the cells that their strings fall into."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 512):
+            h, cx, copy, left, sums, around = _surveyed(batch.slice(begin, 512), shape)
+            row, before, after, _ = around
+            cell = (before // CELL) << 16 | after // CELL
+            _, one = np.unique(row.astype(np.int64) << 32 | cell, return_index=True)
+            key = _cell_keys(h.view(np.uint64), sums, row[one], before[one], after[one], shape)
+            columns = [key.view(np.int64), h[row[one]], cx[row[one]], copy[row[one]], cell[one].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h", "cx", "copy", "cell"])
+
+
+def _surveyed(batch: pa.RecordBatch, shape: Shape):
+    h, cx, copy, left = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+    contexts, left = batch.column(4).to_pylist(), left.astype(np.int64)
+    raw = laid(contexts, left, shape)
+    right = np.array([len(c) for c in contexts], np.int64) - left
+    return h, cx, copy, left, prefix_sums(raw), strings_around(raw, left, right, shape)
+
+
+def _dealt(batches, shape: Shape):
+    """Contexts and their live cells -> a row for each cell: (key, h, cx, left, context, cell)."""
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if len(rows) >= TOGETHER and row[0] != rows[-1][0]:
-                yield solved(rows)
-                rows = []
-            rows.append(row)
-    if rows:
-        yield solved(rows)
+            h, cx, _, left, context, live = row
+            if live:
+                names = ["key", "h", "cx", "left", "context", "cell"]
+                n = len(live)
+                columns = [pa.array([x["key"] for x in live], pa.int64()), pa.array([h] * n, pa.int64()), pa.array([cx] * n, pa.int64()), pa.array([left] * n, pa.int16()),
+                           pa.array([context] * n, pa.binary()), pa.array([x["cell"] for x in live], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _strings(batches, shape: Shape):
-    """Contexts -> every string in them, by hash (for anchors with too many contexts to gather)."""
+    """Contexts and their hot cells -> (key, h, cx, copy, a, b, w): every string of these cells."""
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
-            h, cx, left, contexts = (c.to_pylist() for c in batch.slice(begin, 256).columns)
-            left, sizes, span = np.array(left, np.int64), np.array([len(c) for c in contexts]), np.arange(shape.left + 1)
-            value = string_hashes(laid(contexts, left, shape), span, shape)
-            r, c = np.nonzero((span[None, :] <= left[:, None]) & (shape.length - span[None, :] <= (sizes - left)[:, None]))
-            yield pa.RecordBatch.from_pydict(
-                {"h": pa.array(np.array(h, np.int64)[r]), "cx": pa.array(np.array(cx, np.int64)[r]), "o": pa.array(c.astype(np.int32)), "s": pa.array(mixed(value[r, c]).view(np.int64))}
-            )
+            part = batch.slice(begin, 256)
+            h, cx, copy, left, sums, (row, before, after, words) = _surveyed(part, shape)
+            cell = row.astype(np.int64) << 32 | (before // CELL) << 16 | after // CELL
+            hot = [k << 32 | x["cell"] for k, live in enumerate(part.column(5).to_pylist()) for x in live]
+            own = np.isin(cell, np.array(hot, np.int64))
+            row, before, after, words = row[own], before[own], after[own], words[own]
+            key = mixed(hashes_of(sums, row, before, after, shape) + h.view(np.uint64)[row]) + mixed((before << 16 | after).astype(np.uint64))
+            columns = [key.view(np.int64), h[row], cx[row], copy[row], -before, after, words]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h", "cx", "copy", "a", "b", "w"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_rid``, the same for rows of equal doc_id and text only."""
-    lead = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.coalesce("text", F.lit("")))
-    return docs.withColumn("_rid", F.unhex(F.md5(lead.cast("binary"))))
+def _rid(doc_id, text):
+    """The same for rows of equal doc_id and text only."""
+    lead = F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(" "), F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(lead.cast("binary")))
 
 
 def spans(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFrame:
     """(_rid, spots): for documents that lose bytes, their anchors and what is covered around each."""
-    keyed, width = _keyed(docs.select("doc_id", "text")), partitions(docs)
-    found = stored(keyed.select("_rid", "text").mapInArrow(lambda x: _joined(_anchor_rows(x, shape)), _KEYED), "anchors")
-    settled(docs.sparkSession)
+    spark, width = docs.sparkSession, partitions(docs)
+    keyed = docs.select(_rid(F.col("doc_id"), F.col("text")).alias("_rid"), "text")
+    found = stored(keyed.mapInArrow(lambda x: _joined(_anchor_rows(x, shape)), _KEYED), "anchors")
+    settled(spark)
     # anchors whose contexts differ; "m" counts their rows, which are no fewer than their contexts
     varied = found.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("cx").alias("least"), F.max("cx").alias("most"))
     varied = stored(varied.filter("least <> most").select("h", "m"), "varied")
-    each = found.groupBy("h", "cx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "pos")).alias("at"))
+    place = F.struct("rid", "pos")
+    each = found.groupBy("h", "cx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("two"))
     each = stored(each.join(varied, "h", "left").filter("n > 1 or m > 1"), "contexts")
-    settled(docs.sparkSession)
-    large = each.filter(f"m > {group}").groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-    large = stored(large.filter(f"k > {group}").select("h"), "large")
+    settled(spark)
+    hot = each.filter(f"m > {group}").groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    hot = stored(hot.filter(f"k > {group}").select("h"), "hot")
 
     def contexts(how: str) -> DataFrame:
-        spots = each.filter("m > 1").join(large, "h", how).select(F.col("at.rid").alias("_rid"), F.col("at.pos").alias("pos"), "h", "cx")
-        spots = spots.groupBy("_rid").agg(F.collect_list(F.struct("pos", "h", "cx")).alias("spots"))
-        return keyed.join(spots, "_rid").select("text", "spots").mapInArrow(partial(_cut_out, shape=shape), "h bigint, cx bigint, left smallint, context binary")
+        # what occurs twice comes from two places, so that the suffix array sees it twice
+        copies = F.expr("if(n > 1, array(named_struct('at', one, 'copy', 0Y), named_struct('at', two, 'copy', 1Y)), array(named_struct('at', one, 'copy', 0Y)))")
+        spots = each.join(hot, "h", how).select("h", "cx", F.explode(copies).alias("s"))
+        spots = spots.select(F.col("s.at.rid").alias("_rid"), F.struct("s.at.pos", "h", "cx", "s.copy").alias("spot"))
+        spots = spots.groupBy("_rid").agg(F.collect_list("spot").alias("spots"))
+        return keyed.join(spots, "_rid").select("text", "spots").mapInArrow(partial(_cut_out, shape=shape), _CONTEXT_SQL)
 
+    def solved(rows: DataFrame) -> DataFrame:
+        return rows.repartition(width, "key").sortWithinPartitions("key").mapInArrow(partial(_gathered, shape=shape), _COVERED)
+
+    own = contexts("left_anti").select(F.col("h").alias("key"), "h", "cx", "left", "context", F.lit(-1).alias("cell"))
     # no name is kept for what is only written: its shuffle files go with the next ``settled``
-    covered = stored(
-        contexts("left_anti").repartition(width, "h").sortWithinPartitions("h").mapInArrow(partial(_gathered, shape=shape), f"h bigint, cx bigint, ab {_STRETCHES}"), "repeats"
-    )
-    settled(docs.sparkSession)
-    if large.limit(1).count():
-        strings = stored(contexts("left_semi").mapInArrow(partial(_strings, shape=shape), "h bigint, cx bigint, o int, s bigint"), "strings")
-        settled(docs.sparkSession)
-        twice = strings.groupBy("h", "o", "s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        # consecutive offsets of a context make one stretch
-        own = strings.join(twice, ["h", "o", "s"]).groupBy("h", "cx").agg(F.sort_array(F.collect_list("o")).alias("o"))
-        length = shape.length
-        own = map_rows(own, lambda: lambda h, cx, o: (h, cx, _runs_of(o, length)), f"h bigint, cx bigint, ab {_STRETCHES}")
-        covered = covered.unionByName(own)
-    # a context that occurs twice is covered as a whole (null); one row a context, so each anchor meets one
-    whole = each.filter("n > 1").select("h", "cx", F.lit(None).cast(_STRETCHES).alias("ab"))
-    partly = covered.join(whole.select("h", "cx"), ["h", "cx"], "left_anti")
-    met = found.join(whole.unionByName(partly), ["h", "cx"]).select(F.col("rid").alias("_rid"), F.struct("pos", "left", "right", "ab").alias("spot"))
+    covered_ = stored(solved(own), "repeats")
+    settled(spark)
+    if hot.limit(1).count():
+        own = stored(contexts("left_semi"), "hot-contexts")
+        cells = stored(own.mapInArrow(partial(_cells, shape=shape), "key bigint, h bigint, cx bigint, copy tinyint, cell int"), "hot-cells")
+        settled(spark)
+        shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        live = stored(cells.join(shared, "key"), "hot-live")
+
+        def with_cells(where: str) -> DataFrame:
+            some = live.filter(where).groupBy("h", "cx", "copy").agg(F.collect_list(F.struct("key", "cell")).alias("live"))
+            return own.join(some, ["h", "cx", "copy"]).select(*_CONTEXT.names, "live")
+
+        more = solved(with_cells(f"n <= {group}").mapInArrow(partial(_dealt, shape=shape), "key bigint, h bigint, cx bigint, left smallint, context binary, cell int"))
+        more = stored(more, "hot-repeats")
+        strings = with_cells(f"n > {group}").mapInArrow(partial(_strings, shape=shape), "key bigint, h bigint, cx bigint, copy tinyint, a int, b int, w boolean")
+        strings = stored(strings, "hot-strings")
+        settled(spark)
+        twice = strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+        whole = strings.join(twice, "key").select("h", "cx", "a", "b", "w").distinct().groupBy("h", "cx").agg(F.collect_list(F.struct("a", "b", "w")).alias("ab"))
+        more = more.unionByName(map_rows(whole, lambda: lambda h, cx, ab: (h, cx, _closed(ab)), _COVERED))
+        # one row a context, so each anchor meets one
+        covered_ = covered_.unionByName(more.groupBy("h", "cx").agg(F.array_distinct(F.flatten(F.collect_list("ab"))).alias("ab")))
+    met = found.join(covered_, ["h", "cx"]).select(F.col("rid").alias("_rid"), F.struct("pos", "ab").alias("spot"))
     return met.groupBy("_rid").agg(F.collect_set("spot").alias("spots"))
 
 
-def _runs_of(offsets: list[int], length: int) -> list[tuple[int, int]]:
-    o = np.array(offsets)
-    _, a, b = runs(np.zeros(len(o), int), o, length)
-    return list(zip(a.tolist(), b.tolist()))
+def _closed(ab) -> list[tuple[int, int, bool]]:
+    """Stretches of a context with touching ones joined, each kind by itself."""
+    return [(a, b, w) for w in (False, True) for a, b in _union([(x["a"], x["b"]) for x in ab if x["w"] == w])]
 
 
-def merged(spots) -> list[tuple[int, int]]:
-    """Covered stretches of a text in order, touching ones joined."""
+def _union(found) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    found = []
-    for s in spots or ():
-        if s["ab"] is None:
-            found.append((s["pos"] - s["left"], s["pos"] + s["right"]))
-        else:
-            found += [(s["pos"] + x["a"], s["pos"] + x["b"]) for x in s["ab"]]
     for a, b in sorted(found):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
@@ -385,25 +533,40 @@ def merged(spots) -> list[tuple[int, int]]:
     return out
 
 
+def merged(spots, words: bool = False) -> list[tuple[int, int]]:
+    """Covered stretches of a text in order, touching ones joined; with ``words`` those of word strings as well."""
+    return _union((s["pos"] + x["a"], s["pos"] + x["b"]) for s in spots or () for x in s["ab"] if words or not x["w"])
+
+
 def kept(raw: bytes, stretches: list[tuple[int, int]]) -> bytes:
     ends = [0, *(x for ab in stretches for x in ab), len(raw)]
     return b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2]))
 
 
 def report(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    keyed = _keyed(docs.select(F.col("doc_id").cast("bigint"), "text"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
+
+    With ``shape.words`` also passage_bytes and n_passages: bytes and maximal runs that strings of
+    either kind cover.
+    """
+    more = shape.words is not None
 
     def make():
         def one(doc_id, text, spots):
             raw, stretches = (text or "").encode("utf-8", "surrogatepass"), merged(spots)
             left = kept(raw, stretches)
-            return doc_id, len(raw), len(raw) - len(left), len(stretches), hashlib.sha256(left).hexdigest()
+            row = doc_id, len(raw), len(raw) - len(left), len(stretches), hashlib.sha256(left).hexdigest()
+            if more:
+                passages = merged(spots, True)
+                row = *row, sum(b - a for a, b in passages), len(passages)
+            return row
 
         return one
 
+    keyed = docs.select(_rid(F.col("doc_id"), F.col("text")).alias("_rid"), F.col("doc_id").cast("bigint"), "text")
     joined = keyed.join(spans(docs, group, shape), "_rid", "left").select("doc_id", "text", "spots")
-    return map_rows(joined, make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    return map_rows(joined, make, schema + ", passage_bytes bigint, n_passages bigint" * more)
 
 
 def cut(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFrame:
@@ -412,20 +575,23 @@ def cut(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFrame:
     A code point of which a byte is covered goes as a whole. Texts that lose nothing, nulls
     included, stay as they are.
     """
-    joined = _keyed(docs).join(spans(docs, group, shape).withColumnRenamed("spots", "_spots"), "_rid", "left")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    row = row.select("row", _rid(F.col("row.doc_id"), F.col("row.text")).alias("_rid"))
+    joined = row.join(spans(docs, group, shape), "_rid", "left")
 
     @F.arrow_udf("string")
     def shorter(text: pa.Array, spots: pa.Array) -> pa.Array:
-        both = zip(text.to_pylist(), spots.to_pylist())
-        return pa.array([kept((t or "").encode("utf-8", "surrogatepass"), merged(s)).decode("utf-8", "ignore") for t, s in both], pa.string())
+        both = zip(text, spots)
+        return pa.array([kept((t.as_py() or "").encode("utf-8", "surrogatepass"), merged(s.as_py())).decode("utf-8", "ignore") for t, s in both], pa.string())
 
-    new = F.when(F.col("_spots").isNull(), F.col("text")).otherwise(shorter(F.col("text"), F.col("_spots")))
-    joined = joined.withColumn("text", new)
+    lost = F.col("spots").isNotNull()
+    new = joined.select(joined["row"].alias("row"), lost.alias("lost"), F.when(lost, shorter(F.col("row.text"), F.col("spots"))).otherwise(F.col("row.text")).alias("new"))
+    changed = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spots").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return joined.select(docs.columns)
+        changed["n_chars"] = F.when(F.col("lost"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return new.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    """The contract's rows."""
-    return report(docs)
+    """The contract's rows, and what passages of 50 words cover."""
+    return report(docs, shape=PASSAGES)

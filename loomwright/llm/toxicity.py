@@ -5,9 +5,12 @@ sides) sets one hashed 0/1 feature. Each feature is scaled by its naive Bayes lo
 ratio r = ln((p / |p|) / (q / |q|)), p and q being the smoothed counts in toxic and other
 training texts, and a logistic regression with L2 penalty is fitted on the scaled features.
 
-Nulls and empty texts are scored like a text without n-grams. A document without a label is
-only scored. Repeated documents are scored alike; repeated labels count once, toxic first.
-With no usable label of one class the score is that of the class at hand (0.5 without labels).
+Nulls and empty texts are scored like a text without n-grams. Very long texts are read whole, in
+pieces. A document without a label is only scored. Repeated documents are scored alike; repeated
+labels count once, toxic first, and of repeated rows of an id the least text is learned from.
+The sample is taken in hash order of the ids (ties: by id). With no usable label of one class the
+score is that of the class at hand (0.5 without labels); an empty table gives an empty result.
+Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -66,7 +69,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, usable, per_
     some = one.filter("y = 1").orderBy(*order).limit(per_class)
     some = some.unionByName(one.filter("y = 0").orderBy(*order).limit(per_class))
     # at most 2 * per_class pairs of numbers: safe to send to every executor
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "y")
+    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return met.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable=None, per_class: int = TRAIN_PER_CLASS) -> NaiveBayesScaled:
@@ -78,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, per_class: int = TRAIN_
         return lambda doc_id, text, y: (doc_id, y, present(text).tobytes())
 
     got = map_rows(sample, make, "doc_id bigint, y int, slots binary").collect()
-    got = sorted({r.doc_id: (r.doc_id, r.y, r.slots) for r in got}.values())
+    got = sorted((r.doc_id, r.y, r.slots) for r in got)
     return NaiveBayesScaled.fit([np.frombuffer(x, np.int32) for _, _, x in got], np.array([y for _, y, _ in got]))
 
 

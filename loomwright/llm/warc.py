@@ -12,9 +12,12 @@ run. Runs are dealt by ranges of (URL key, timestamp, id, ...), so a hot URL spr
 ranges as it needs, and in each range a loser tree merges the runs' slices: all ranges in their
 order are the ordered capture history.
 
-Null html is an empty payload. A null url has no target line and the key ``-``. Rows that repeat
-give a record each; with equal ids they are responses alike. A null id in a group of equal
-payloads is a revisit, unless all ids there are null. Line breaks in a url are percent-encoded.
+Null and empty html is an empty payload, and very long html one record. A null url has no target
+line and the key ``-``. Rows that repeat give a record each; with equal ids they are responses
+alike. A null id in a group of equal payloads is a revisit, unless all ids there are null. Line
+breaks in a url are percent-encoded. Captures of one key and time (ties) are ordered by id, then
+archive and offset. An empty table gives no archive and an empty index. Only page_id, url and
+html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, remove_dir, shared_dir
+from ..functions.storage import remove_dir, shared_dir, stored
+from ._common import partitions
 
 SHARED_BYTES = 1000
 #: Captures in one sorted run; captures that one range holds on average.
 RUN, RANGE = 20_000, 50_000
+#: Records of one archive at most: an archive is read as a whole, compressed.
+RECORDS = 10_000
 #: Captures carry the time of this second (2024-01-01 UTC) plus their id, as pages have no time.
 BASE_SECOND = 1704067200
 END = "\r\n\r\n"
@@ -84,7 +90,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str) -> None:
     """Archives below ``path``, one ``.warc.gz`` file a partition (names are given after the commit)."""
-    records(pages).write.option("lineSep", END).option("compression", "gzip").text(path)
+    records(pages).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
     spark = pages.sparkSession
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -257,7 +263,8 @@ def _merged(batches):
 def history(spark, path: str, captures: int) -> DataFrame:
     """The ordered capture index of all archives below ``path`` (about ``captures`` of them)."""
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "content")
-    runs = archives.mapInArrow(_runs, f"{CAPTURE}, run string, place int")
+    # written first: dealing by ranges takes a sample, and archives are parsed once
+    runs = stored(archives.mapInArrow(_runs, f"{CAPTURE}, run string, place int"), "capture-runs")
     width = max(min(partitions(archives), max(1, captures // 1000)), -(-captures // RANGE))
     dealt = runs.repartitionByRange(width, "urlkey", "timestamp", "page_id", "archive", "offset")
     return dealt.sortWithinPartitions("run", "place").mapInArrow(_merged, CAPTURE)
@@ -270,11 +277,11 @@ def write_index(index: DataFrame, path: str) -> None:
 
 
 def op2(pages: DataFrame) -> DataFrame:
-    """The contract's rows, read back from archives in the cluster's shared folder."""
+    """The contract's rows, with the capture's key and time, in the order of the merged history."""
     spark, path = pages.sparkSession, shared_dir(pages.sparkSession, "warc")
     write(pages.select("page_id", "url", "html"), path)
     found = history(spark, path, pages.count())
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp")
 
 
 def discard(spark, path: str) -> None:
@@ -282,9 +289,13 @@ def discard(spark, path: str) -> None:
 
 
 ORACLE = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    url, regexp_extract(url, '://([^#]*)', 1) AS rest FROM pages),
 g AS (SELECT payload_digest, payload_bytes, max(page_id) AS most FROM p WHERE payload_bytes >= {SHARED_BYTES} GROUP BY 1, 2)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN most IS DISTINCT FROM page_id AND most IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN most IS DISTINCT FROM page_id THEN most END AS refers_to
+  CASE WHEN most IS DISTINCT FROM page_id THEN most END AS refers_to,
+  coalesce(lower(CASE WHEN rest = '' THEN url
+    ELSE array_to_string(list_reverse(string_split(regexp_extract(rest, '^([^/?]*)', 1), '.')), ',') || ')' || regexp_extract(rest, '^[^/?]*(.*)', 1) END), '-') AS urlkey,
+  strftime(make_timestamp(({BASE_SECOND} + coalesce(page_id, 0)) * 1000000), '%Y%m%d%H%M%S') AS timestamp
 FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
 """
