@@ -162,8 +162,8 @@ def neighbour_prefixes(symbols: np.ndarray, order: np.ndarray, most: int) -> np.
     return best
 
 
-def shared_blocks(group: np.ndarray, left: np.ndarray, raw: np.ndarray, sizes: np.ndarray, shape: Shape = SHAPE) -> np.ndarray:
-    """Contexts x blocks: how many blocks, from each on, another suffix of the suffix array shares most.
+def block_symbols(group: np.ndarray, left: np.ndarray, raw: np.ndarray, sizes: np.ndarray, shape: Shape = SHAPE) -> np.ndarray:
+    """Contexts x blocks: a number for each block of a group that occurs twice, 0 for the others.
 
     ``raw``: one context a row, its anchor at column ``left``; contexts of different groups share nothing.
     """
@@ -172,21 +172,50 @@ def shared_blocks(group: np.ndarray, left: np.ndarray, raw: np.ndarray, sizes: n
     blocks = before + after
     first = shape.left - before * size
     cells = raw[:, first : first + blocks * size].reshape(n, blocks, size)
-    hashed = mixed((_BYTE[cells] * _POWER[:size]).sum(2, dtype=np.uint64) + group[:, None])
     # blocks that lie in the context as a whole; the others equal nothing
     begin = (np.arange(blocks) - before) * size
     whole = (begin[None, :] >= -left[:, None]) & (begin[None, :] + size <= (sizes - left)[:, None])
-    _, ranks, counts = np.unique(hashed[whole], return_inverse=True, return_counts=True)
-    # a symbol that occurs once ends every match, and so does a separator
-    symbols = np.zeros((n, blocks + 1), np.int64)
-    symbols[:, :blocks][whole] = np.where(counts[ranks] > 1, ranks + 1, 0)
-    flat = symbols.ravel()
-    known = np.flatnonzero((flat > 0) | np.append(False, flat[:-1] > 0))  # runs of symbols, a separator after each
+    eights = np.ascontiguousarray(cells[whole]).view(np.uint64)  # 8 bytes at once
+    hashed = mixed((mixed(eights) * _POWER[1 : size // 8 + 1]).sum(1, dtype=np.uint64) + np.repeat(group, whole.sum(1)))
+    order = np.argsort(hashed)
+    new = np.concatenate([[True], hashed[order[1:]] != hashed[order[:-1]]])[: len(order)]
+    begins = np.flatnonzero(new)
+    counts = np.diff(np.append(begins, len(order)))
+    ranks = np.empty(len(order), np.int64)
+    ranks[order] = np.repeat(np.where(counts > 1, np.arange(1, len(begins) + 1), 0), counts)
+    symbols = np.zeros((n, blocks), np.int64)
+    symbols[whole] = ranks
+    return symbols
+
+
+def runs_ahead(symbols: np.ndarray) -> np.ndarray:
+    """How many symbols without a 0 stand from each place on."""
+    run = np.zeros((len(symbols), symbols.shape[1] + 1), np.int64)
+    for b in reversed(range(symbols.shape[1])):
+        run[:, b] = (run[:, b + 1] + 1) * (symbols[:, b] > 0)
+    return run[:, :-1]
+
+
+def shared_blocks(symbols: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Contexts x blocks: how many symbols, from each place on, the suffix shares with its closer neighbour in the order.
+
+    The suffix array is that of the runs of symbols in which some place is ``wanted``; what no two
+    contexts have ends every match, and so does the end of a run.
+    """
+    flat = np.append(symbols, np.zeros((len(symbols), 1), np.int64), axis=1).ravel()
+    known = flat > 0
+    begins = np.flatnonzero(known & ~np.append(False, known[:-1]))
     found = np.zeros(flat.shape, np.int64)
-    if len(known):
-        text = flat[known]
-        found[known] = neighbour_prefixes(text, np.array(suffix_order(text.tolist())), blocks)
-    return found.reshape(n, blocks + 1)[:, :blocks]
+    if len(begins):
+        ends = np.flatnonzero(known & ~np.append(known[1:], False)) + 1
+        marks = np.append(0, np.cumsum(np.append(wanted, np.zeros((len(wanted), 1), np.bool_), axis=1).ravel()))
+        own = marks[ends] > marks[begins]
+        begins, sizes = begins[own], (ends - begins)[own] + 1  # with a separator
+        where = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        text = flat[where]
+        if len(text):
+            found[where] = neighbour_prefixes(text, np.array(suffix_order(text.tolist())), symbols.shape[1])
+    return found.reshape(len(symbols), -1)[:, :-1]
 
 
 def laid(contexts: list[bytes], left: np.ndarray, shape: Shape = SHAPE) -> np.ndarray:
@@ -219,12 +248,62 @@ def strings_around(raw: np.ndarray, left: np.ndarray, right: np.ndarray, shape:
     """(context, bytes before the anchor, bytes from it, of words) of every string around the anchors."""
     span = np.arange(shape.left + 1)
     row, before = np.nonzero((span <= left[:, None]) & (shape.length - span <= right[:, None]))
-    after, words = shape.length - before, np.zeros(len(row), np.bool_)
+    long = row, before, shape.length - before
+    return _both(long, word_strings(raw, left, right, shape) if shape.words else None)
+
+
+def _both(long, of_words) -> tuple[np.ndarray, ...]:
+    of_words = of_words or [np.zeros(0, np.int64)] * 3
+    words = np.arange(len(long[0]) + len(of_words[0])) >= len(long[0])
+    return (*(np.concatenate(x).astype(np.int32) for x in zip(long, of_words)), words)
+
+
+def _needed(before: np.ndarray, after: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """The first block that a string holds as a whole, and how many it does."""
+    ahead = before // shape.block
+    return shape.left // shape.block - ahead, (after + ahead * shape.block) // shape.block
+
+
+def candidates(symbols: np.ndarray, raw: np.ndarray, left: np.ndarray, right: np.ndarray, shape: Shape):
+    """((context, block) where long strings begin, word strings) whose whole blocks the suffix array finds in another place.
+
+    Also, for the former, how many blocks are shared from there on.
+    """
+    run, size = runs_ahead(symbols), shape.block
+    least = (shape.length - size + 1) // size  # whole blocks of any long string
+    places = shape.left // size + 1
+    wanted = np.zeros(symbols.shape, np.bool_)
+    wanted[:, :places] = run[:, :places] >= least
+    if shape.words:
+        # contexts with a block that occurs twice, or with so many short words that no block need be whole
+        blanks = np.add.reduceat(~NONSPACE[raw], np.arange(0, shape.width, size), axis=1, dtype=np.int64)
+        short = blanks[:, :-2] + blanks[:, 1:-1] + blanks[:, 2:]
+        some = np.flatnonzero((run.max(1, initial=0) > 0) | (short.max(1, initial=0) >= shape.words - 1))
+        row, before, after = word_strings(raw[some], left[some], right[some], shape)
+        row = some[row]
+        at, need = _needed(before, after, shape)
+        at = np.minimum(at, symbols.shape[1] - 1)
+        fits = run[row, at] >= need
+        row, before, after, at, need = row[fits], before[fits], after[fits], at[fits], need[fits]
+        wanted[row, at] = True
+    shared = shared_blocks(symbols, wanted)
+    of_words = None
     if shape.words:
-        found = word_strings(raw, left, right, shape)
-        row, before, after = (np.concatenate(x) for x in zip((row, before, after), found))
-        words = np.append(words, np.ones(len(found[0]), np.bool_))
-    return row.astype(np.int32), before.astype(np.int32), after.astype(np.int32), words
+        fits = shared[row, at] >= need
+        of_words = row[fits], before[fits], after[fits]
+    row, block = np.nonzero(shared[:, :places] >= least)
+    return (row, block, shared[row, block]), of_words
+
+
+def strings_from(row: np.ndarray, block: np.ndarray, shared: np.ndarray, left: np.ndarray, right: np.ndarray, shape: Shape):
+    """(context, bytes before the anchor, bytes from it) of the long strings whose first whole block is ``block``."""
+    size = shape.block
+    first = (shape.left // size - block) * size
+    offset = first[:, None] + np.arange(size)
+    fits = (offset <= np.minimum(left[row], shape.left)[:, None]) & (shape.length - offset <= right[row][:, None])
+    fits &= (shape.length - offset + first[:, None]) // size <= shared[:, None]
+    offset, row = offset[fits], np.repeat(row, size).reshape(-1, size)[fits]
+    return row, offset, shape.length - offset
 
 
 def prefix_sums(raw: np.ndarray) -> np.ndarray:
@@ -238,69 +317,102 @@ def hashes_of(sums: np.ndarray, row: np.ndarray, before: np.ndarray, after: np.n
     return (sums[row, shape.left + after] - sums[row, shape.left - before]) * _BACK[shape.left - before]
 
 
-def verified(raw: np.ndarray, left: np.ndarray, right: np.ndarray, row: np.ndarray, before: np.ndarray, after: np.ndarray, first: np.ndarray, shape: Shape) -> np.ndarray:
-    """Whether the bytes of each string are those of the string at the same place of context ``first``."""
-    pair, back = np.unique(row.astype(np.int64) << 32 | first, return_inverse=True)
-    a, b = pair >> 32, pair & 0xFFFFFFFF
-    back_to, on_to = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
-    for k in range(0, len(pair), 2048):
-        x, y = a[k : k + 2048], b[k : k + 2048]
+def common(raw: np.ndarray, left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes before the anchor, and from it, that contexts ``a`` and ``b`` share, each pair."""
+    back, on = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    for k in range(0, len(a), 1024):
+        x, y = a[k : k + 1024], b[k : k + 1024]
         differ = np.ones((len(x), shape.width + 2), np.bool_)
-        differ[:, 1:-1] = raw[x] != raw[y]
-        back_to[k : k + 2048] = np.argmax(differ[:, shape.left :: -1], axis=1)
-        on_to[k : k + 2048] = np.argmax(differ[:, shape.left + 1 :], axis=1)
-    back_to, on_to = np.minimum(back_to, np.minimum(left[a], left[b])), np.minimum(on_to, np.minimum(right[a], right[b]))
-    return (before <= back_to[back]) & (after <= on_to[back])
+        np.not_equal(raw[x], raw[y], out=differ[:, 1:-1])
+        back[k : k + 1024] = np.argmax(differ[:, shape.left :: -1], axis=1)
+        on[k : k + 1024] = np.argmax(differ[:, shape.left + 1 :], axis=1)
+    return np.minimum(back, np.minimum(left[a], left[b])), np.minimum(on, np.minimum(right[a], right[b]))
 
 
-def repeated(group: np.ndarray, left: np.ndarray, contexts: list[bytes], shape: Shape = SHAPE, cell: np.ndarray | None = None):
-    """(context, from, to, of words): bytes relative to the anchor that strings found in two contexts of a group cover.
+def verified(raw: np.ndarray, left: np.ndarray, right: np.ndarray, row: np.ndarray, before: np.ndarray, after: np.ndarray, first: np.ndarray, shape: Shape) -> np.ndarray:
+    """Whether the bytes of each string are those of the string at the same place of context ``first``."""
+    pair, at = np.unique(row.astype(np.int64) << 32 | first, return_inverse=True)
+    back, on = common(raw, left, right, pair >> 32, pair & 0xFFFFFFFF, shape)
+    return (before <= back[at]) & (after <= on[at])
 
-    ``cell``: of each context, the steps of ``CELL`` bytes where its strings begin and end; others are left aside.
-    """
-    sizes, raw = np.array([len(c) for c in contexts]), laid(contexts, left, shape)
-    right = sizes - left
-    row, before, after, words = strings_around(raw, left, right, shape)
-    if cell is not None:
-        own = (before // CELL == cell[row, 0]) & (after // CELL == cell[row, 1])
-        row, before, after, words = row[own], before[own], after[own], words[own]
-    # the suffix at a string's first whole block must share the string's whole blocks
-    shared = shared_blocks(group, left, raw, sizes, shape)
-    ahead = before // shape.block
-    need = (after + ahead * shape.block) // shape.block
-    at = np.minimum(shape.left // shape.block - ahead, shared.shape[1] - 1)
-    maybe = (need <= 0) | (shared[row, at] >= need)
-    row, before, after, words = row[maybe], before[maybe], after[maybe], words[maybe]
-    none = np.zeros(0, np.int64)
-    if not len(row):
-        return none, none, none, none.astype(np.bool_)
-    key = mixed(hashes_of(prefix_sums(raw), row, before, after, shape) + group[row]) + mixed((before << 16 | after).astype(np.uint64))
+
+def found_twice(raw: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, row: np.ndarray, before: np.ndarray, after: np.ndarray, shape: Shape):
+    """The strings, of those given, that two contexts of a group have at the same place: met by hash, decided by their bytes."""
+    met, row = np.unique(row, return_inverse=True)
+    raw, left, right = raw[met], left[met], right[met]
+    key = mixed(hashes_of(prefix_sums(raw), row, before, after, shape) + group[met][row]) + mixed((before << 16 | after).astype(np.uint64))
     order = np.argsort(key, kind="stable")
-    row, before, after, words, key = row[order], before[order], after[order], words[order], key[order]
-    lead = np.concatenate([[True], key[1:] != key[:-1]])
-    first = row[np.maximum.accumulate(np.where(lead, np.arange(len(row)), 0))]
-    other = (row != first).astype(np.int8)
-    same = other == 0
-    same[~same] = verified(raw, left, right, row[~same], before[~same], after[~same], first[~same], shape)
+    row, before, after, key = row[order], before[order], after[order], key[order]
+    lead = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
     begins = np.flatnonzero(lead)
-    twice = np.repeat(np.add.reduceat(same & (other > 0), begins) > 0, np.diff(np.append(begins, len(row)))) & same
+    sizes = np.diff(np.append(begins, len(row)))
+    lone = np.repeat(sizes == 1, sizes)
+    first = np.repeat(row[begins], sizes)
+    other = row != first
+    same = ~other
+    same[other] = verified(raw, left, right, row[other], before[other], after[other], first[other], shape)
+    twice = np.repeat(np.add.reduceat((same & other).astype(np.int64), begins) > 0, sizes) & same & ~lone if len(row) else same
     if not same.all():  # strings of equal hash and other bytes: told apart one by one
         odd, seen = np.flatnonzero(~same), {}
         for k in odd.tolist():
             seen.setdefault((int(key[k]), raw[row[k], shape.left - before[k] : shape.left + after[k]].tobytes()), []).append(k)
         for places in seen.values():
             twice[places] = len(places) > 1
-    out = [covered(len(raw), row[own], before[own], after[own], shape) for own in (twice & ~words, twice & words)]
-    of = np.append(np.zeros(len(out[0][0]), np.bool_), np.ones(len(out[1][0]), np.bool_))
-    return (*(np.concatenate(x) for x in zip(*out)), of)
+    return met[row[twice]], before[twice], after[twice]
+
 
+#: Contexts of one anchor that are compared pair by pair; of more, the strings are sorted by hash.
+PAIRED = 6
 
-def covered(n: int, row: np.ndarray, before: np.ndarray, after: np.ndarray, shape: Shape):
-    """Strings -> (context, from, to): what they cover, relative to the anchor."""
-    size = shape.width + 1
-    change = np.bincount(row * size + shape.left - before, minlength=n * size) - np.bincount(row * size + shape.left + after, minlength=n * size)
-    depth = np.append(0, np.cumsum(change))
-    begin, end = np.flatnonzero((depth[1:] > 0) & (depth[:-1] == 0)), np.flatnonzero((depth[1:] == 0) & (depth[:-1] > 0))
+
+def repeated(group: np.ndarray, left: np.ndarray, contexts: list[bytes], shape: Shape = SHAPE, cell: np.ndarray | None = None):
+    """(context, from, to, of words): bytes relative to the anchor that strings found in two contexts of a group cover.
+
+    Contexts of a group stand together. ``cell``: of each context, the steps of ``CELL`` bytes where
+    its strings begin and end; others are left aside.
+    """
+    sizes, raw = np.array([len(c) for c in contexts]), laid(contexts, left, shape)
+    right = sizes - left
+    (row, block, shared), of_words = candidates(block_symbols(group, left, raw, sizes, shape), raw, left, right, shape)
+    out = []
+    if cell is None:
+        own = row[np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]]
+        begins = np.flatnonzero(np.concatenate([[True], group[own[1:]] != group[own[:-1]]])[: len(own)])
+        count = np.repeat(np.diff(np.append(begins, len(own))), np.diff(np.append(begins, len(own))))
+        few = own[count <= PAIRED]
+        for apart in range(1, PAIRED):
+            a, b = few[:-apart], few[apart:]
+            met = group[a] == group[b]
+            a, b = a[met], b[met]
+            back, on = common(raw, left, right, a, b, shape)
+            long = back + on >= shape.length
+            out += [(a[long], back[long], on[long]), (b[long], back[long], on[long])]
+        many = ~np.isin(row, few)
+        row, block, shared = row[many], block[many], shared[many]
+    out.append(found_twice(raw, group, left, right, *_inside(strings_from(row, block, shared, left, right, shape), cell), shape))
+    out = [union_of(*(np.concatenate(x) for x in zip(*out)), shape)]
+    if shape.words:
+        out.append(union_of(*found_twice(raw, group, left, right, *_inside(of_words, cell), shape), shape))
+    words = np.repeat(np.arange(len(out)) > 0, [len(x[0]) for x in out])
+    return (*(np.concatenate(x) for x in zip(*out)), words)
+
+
+def _inside(strings, cell: np.ndarray | None):
+    row, before, after = strings
+    if cell is None:
+        return strings
+    own = (before // CELL == cell[row, 0]) & (after // CELL == cell[row, 1])
+    return row[own], before[own], after[own]
+
+
+def union_of(row: np.ndarray, before: np.ndarray, after: np.ndarray, shape: Shape):
+    """Strings -> (context, from, to): what they cover, relative to the anchor; touching stretches are one."""
+    size = 2 * shape.length
+    begin, end = row * size + shape.left - before, row * size + shape.left + after
+    order = np.argsort(begin)
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]])[: len(begin)])
+    begin, end = begin[new], end[np.append(new[1:], len(end)) - 1] if len(new) else end
     return begin // size, begin % size - shape.left, end % size - shape.left
 
 
