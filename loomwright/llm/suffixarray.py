@@ -74,7 +74,7 @@ SHAPE = Shape()
 #: The query's: passages of 50 words are reported besides.
 PASSAGES = Shape(words=50)
 #: Contexts of one key that one suffix array may take.
-GROUP = 512
+GROUP = 2048
 #: Contexts taken together into one suffix array.
 TOGETHER = 1024
 #: Strings of a hot anchor are dealt by where they begin and end, in steps of so many bytes.
@@ -458,21 +458,20 @@ def _joined(batches, rows: int = 1 << 15):
 
 
 def _cut_out(batches, shape: Shape):
-    """text, places of anchors -> their contexts, a few hundred at a time."""
+    """text, places of anchors (a list of structs) -> their contexts, some hundred at a time."""
     for batch in batches:
-        for text, spots in zip(batch.column(0), batch.column(1)):
-            raw, rows = (text.as_py() or "").encode("utf-8", "surrogatepass"), []
-            for s in spots.as_py():
-                rows.append((s["h"], s["cx"], s["copy"], min(s["pos"], shape.left), raw[max(0, s["pos"] - shape.left) : s["pos"] + shape.length]))
-                if len(rows) == 512:
-                    yield _batch_of(rows, _CONTEXT)
-                    rows = []
-            if rows:
-                yield _batch_of(rows, _CONTEXT)
-
-
-def _batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+        texts, spots = batch.column(0), batch.column(1)
+        begins, flat = spots.offsets.to_numpy(), spots.values
+        pos = flat.field(0).to_numpy(zero_copy_only=False)
+        rest = [flat.field(k) for k in range(1, 4)]
+        for k in range(batch.num_rows):
+            raw = (texts[k].as_py() or "").encode("utf-8", "surrogatepass")
+            for low in range(int(begins[k]), int(begins[k + 1]), 1024):
+                high = min(low + 1024, int(begins[k + 1]))
+                at = pos[low:high]
+                contexts = [raw[max(0, i - shape.left) : i + shape.length] for i in at.tolist()]
+                columns = [*(r.slice(low, high - low) for r in rest), pa.array(np.minimum(at, shape.left).astype(np.int16)), pa.array(contexts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=_CONTEXT)
 
 
 def _gathered(batches, shape: Shape):
@@ -575,7 +574,7 @@ def _rid(doc_id, text):
 
 
 def spans(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFrame:
-    """(_rid, spots): for documents that lose bytes, their anchors and what is covered around each."""
+    """(_rid, spots): for documents that lose bytes, the stretches (from, to, of words) that are covered around their anchors."""
     spark, width = docs.sparkSession, partitions(docs)
     keyed = docs.select(_rid(F.col("doc_id"), F.col("text")).alias("_rid"), "text")
     found = stored(keyed.mapInArrow(lambda x: _joined(_anchor_rows(x, shape)), _KEYED), "anchors")
@@ -626,8 +625,9 @@ def spans(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFram
         more = more.unionByName(map_rows(whole, lambda: lambda h, cx, ab: (h, cx, _closed(ab)), _COVERED))
         # one row a context, so each anchor meets one
         covered_ = covered_.unionByName(more.groupBy("h", "cx").agg(F.array_distinct(F.flatten(F.collect_list("ab"))).alias("ab")))
-    met = found.join(covered_, ["h", "cx"]).select(F.col("rid").alias("_rid"), F.struct("pos", "ab").alias("spot"))
-    return met.groupBy("_rid").agg(F.collect_set("spot").alias("spots"))
+    place = F.transform("ab", lambda x: F.struct((F.col("pos") + x["a"]).alias("a"), (F.col("pos") + x["b"]).alias("b"), x["w"].alias("w")))
+    met = found.join(covered_, ["h", "cx"]).select(F.col("rid").alias("_rid"), place.alias("ab"))
+    return met.groupBy("_rid").agg(F.flatten(F.collect_list("ab")).alias("spots"))
 
 
 def _closed(ab) -> list[tuple[int, int, bool]]:
@@ -645,9 +645,27 @@ def _union(found) -> list[tuple[int, int]]:
     return out
 
 
-def merged(spots, words: bool = False) -> list[tuple[int, int]]:
-    """Covered stretches of a text in order, touching ones joined; with ``words`` those of word strings as well."""
-    return _union((s["pos"] + x["a"], s["pos"] + x["b"]) for s in spots or () for x in s["ab"] if words or not x["w"])
+def merged(spots: pa.ListArray, words: bool = False) -> list[list[tuple[int, int]]]:
+    """Covered stretches of each text in order, touching ones joined; with ``words`` those of word strings as well."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(spots))]
+    if not len(spots.values):
+        return out
+    begins, flat = spots.offsets.to_numpy(), spots.values
+    a, b, w = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    row = np.repeat(np.arange(len(spots)), np.diff(begins))
+    own = slice(int(begins[0]), int(begins[-1]))
+    a, b, w = a[own].astype(np.int64), b[own].astype(np.int64), w[own].astype(np.bool_)
+    if not words:
+        row, a, b = row[~w], a[~w], b[~w]
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    size = int(b.max(initial=0)) + 2  # so that texts lie apart
+    begin, end = row * size + a, np.maximum.accumulate(row * size + b)
+    new = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]])[: len(begin)])
+    last = np.append(new[1:], len(end)) - 1 if len(new) else new
+    for k, x, y in zip(row[new].tolist(), a[new].tolist(), (end[last] - row[last] * size).tolist()):
+        out[k].append((x, y))
+    return out
 
 
 def kept(raw: bytes, stretches: list[tuple[int, int]]) -> bytes:
@@ -663,22 +681,24 @@ def report(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFra
     """
     more = shape.words is not None
 
-    def make():
-        def one(doc_id, text, spots):
-            raw, stretches = (text or "").encode("utf-8", "surrogatepass"), merged(spots)
-            left = kept(raw, stretches)
-            row = doc_id, len(raw), len(raw) - len(left), len(stretches), hashlib.sha256(left).hexdigest()
-            if more:
-                passages = merged(spots, True)
-                row = *row, sum(b - a for a, b in passages), len(passages)
-            return row
-
-        return one
+    def reported(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                ids, texts, spots = batch.slice(low, 512).columns
+                rows, every = [], merged(spots, True) if more else None
+                for k, stretches in enumerate(merged(spots)):
+                    raw = (texts[k].as_py() or "").encode("utf-8", "surrogatepass")
+                    left = kept(raw, stretches)
+                    row = len(raw), len(raw) - len(left), len(stretches), hashlib.sha256(left).hexdigest()
+                    rows.append((*row, sum(b - a for a, b in every[k]), len(every[k])) if more else row)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+                columns = [ids, *(pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_bytes", "n_passages"][: len(columns)])
 
     keyed = docs.select(_rid(F.col("doc_id"), F.col("text")).alias("_rid"), F.col("doc_id").cast("bigint"), "text")
     joined = keyed.join(spans(docs, group, shape), "_rid", "left").select("doc_id", "text", "spots")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return map_rows(joined, make, schema + ", passage_bytes bigint, n_passages bigint" * more)
+    return joined.mapInArrow(reported, schema + ", passage_bytes bigint, n_passages bigint" * more)
 
 
 def cut(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFrame:
@@ -693,8 +713,8 @@ def cut(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFrame:
 
     @F.arrow_udf("string")
     def shorter(text: pa.Array, spots: pa.Array) -> pa.Array:
-        both = zip(text, spots)
-        return pa.array([kept((t.as_py() or "").encode("utf-8", "surrogatepass"), merged(s.as_py())).decode("utf-8", "ignore") for t, s in both], pa.string())
+        both = zip(text, merged(spots))
+        return pa.array([kept((t.as_py() or "").encode("utf-8", "surrogatepass"), s).decode("utf-8", "ignore") for t, s in both], pa.string())
 
     lost = F.col("spots").isNotNull()
     new = joined.select(joined["row"].alias("row"), lost.alias("lost"), F.when(lost, shorter(F.col("row.text"), F.col("spots"))).otherwise(F.col("row.text")).alias("new"))
