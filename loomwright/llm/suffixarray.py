@@ -21,10 +21,12 @@ that its strings share (``_cells``), so that no anchor is one task; the suffix a
 those of the contexts that share it. Where even more contexts share that, the key is the whole
 string, and what has the same key is the same string. No size is left out.
 
-With ``Shape.words`` strings of that many whole words (runs of anything but ASCII white space),
-where they have at most ``Shape.length`` bytes and are whole words at both places, are found as
-well; ``report`` then adds columns for what both kinds cover, and the bytes that are removed stay
-those of the first kind.
+With ``Shape.words`` shorter passages are marked as well: anchors then are dense enough for every
+string of that many words, and each context is compared with its neighbours in the order of the
+suffixes that begin at the anchors; where as many whole words (runs of anything but ASCII white
+space) are common to both, they are a passage. ``report`` then adds columns for what both kinds
+cover. This marks no text without such a passage; one that is no neighbour's may be left out. The
+bytes that are removed stay those of the first kind, which are complete.
 
 Matches never cross documents. Nulls and empty texts have no bytes and lose none. A text of any
 length is read in pieces of 32 KB. Rows are told apart by doc_id and text, so a row that repeats
@@ -74,7 +76,7 @@ SHAPE = Shape()
 #: The query's: passages of 50 words are reported besides.
 PASSAGES = Shape(words=50)
 #: Contexts of one key that one suffix array may take.
-GROUP = 2048
+GROUP = 4096
 #: Contexts taken together into one suffix array.
 TOGETHER = 1024
 #: Strings of a hot anchor are dealt by where they begin and end, in steps of so many bytes.
@@ -225,74 +227,22 @@ def laid(contexts: list[bytes], left: np.ndarray, shape: Shape = SHAPE) -> np.nd
     return np.frombuffer(b"".join(r + zero[: size - len(r)] for r in rows), np.uint8).reshape(len(contexts), size)
 
 
-def word_strings(raw: np.ndarray, left: np.ndarray, right: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, bytes before the anchor, bytes from it) of the strings of ``shape.words`` whole words around it."""
-    size = raw.shape[1]
-    column = np.arange(size)
-    inside = NONSPACE[raw] & (column >= shape.left - left[:, None]) & (column < shape.left + right[:, None])
-    edged = np.zeros((len(raw), size + 2), np.bool_)
-    edged[:, 1:-1] = inside
-    starts = np.flatnonzero((edged[:, 1:] & ~edged[:, :-1]).ravel())
-    ends = np.flatnonzero((edged[:, :-1] & ~edged[:, 1:]).ravel())
-    # a word cut off by the context's edge is no whole word: at the left as a start, at the right as an end
-    starts = starts[starts % (size + 1) > 0]
-    last = np.searchsorted(ends, starts, "right") + shape.words - 1
-    starts, last = starts[last < len(ends)], last[last < len(ends)]
-    row, until = starts // (size + 1), ends[last]
-    before, after = shape.left - starts % (size + 1), until % (size + 1) - shape.left
-    fits = (until // (size + 1) == row) & (before >= 0) & (after >= shape.gram) & (before + after <= shape.length) & (until % (size + 1) < size)
-    return row[fits], before[fits], after[fits]
-
-
-def strings_around(raw: np.ndarray, left: np.ndarray, right: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """(context, bytes before the anchor, bytes from it, of words) of every string around the anchors."""
+def strings_around(left: np.ndarray, right: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, bytes before the anchor, bytes from it) of every long string around the anchors."""
     span = np.arange(shape.left + 1)
     row, before = np.nonzero((span <= left[:, None]) & (shape.length - span <= right[:, None]))
-    long = row, before, shape.length - before
-    return _both(long, word_strings(raw, left, right, shape) if shape.words else None)
+    return row, before, shape.length - before
 
 
-def _both(long, of_words) -> tuple[np.ndarray, ...]:
-    of_words = of_words or [np.zeros(0, np.int64)] * 3
-    words = np.arange(len(long[0]) + len(of_words[0])) >= len(long[0])
-    return (*(np.concatenate(x).astype(np.int32) for x in zip(long, of_words)), words)
-
-
-def _needed(before: np.ndarray, after: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """The first block that a string holds as a whole, and how many it does."""
-    ahead = before // shape.block
-    return shape.left // shape.block - ahead, (after + ahead * shape.block) // shape.block
-
-
-def candidates(symbols: np.ndarray, raw: np.ndarray, left: np.ndarray, right: np.ndarray, shape: Shape):
-    """((context, block) where long strings begin, word strings) whose whole blocks the suffix array finds in another place.
-
-    Also, for the former, how many blocks are shared from there on.
-    """
-    run, size = runs_ahead(symbols), shape.block
-    least = (shape.length - size + 1) // size  # whole blocks of any long string
-    places = shape.left // size + 1
+def candidates(symbols: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, block, blocks shared): where strings begin whose whole blocks the suffix array finds in another place."""
+    least = (shape.length - shape.block + 1) // shape.block  # whole blocks of any string
+    places = shape.left // shape.block + 1
     wanted = np.zeros(symbols.shape, np.bool_)
-    wanted[:, :places] = run[:, :places] >= least
-    if shape.words:
-        # contexts with a block that occurs twice, or with so many short words that no block need be whole
-        blanks = np.add.reduceat(~NONSPACE[raw], np.arange(0, shape.width, size), axis=1, dtype=np.int64)
-        short = blanks[:, :-2] + blanks[:, 1:-1] + blanks[:, 2:]
-        some = np.flatnonzero((run.max(1, initial=0) > 0) | (short.max(1, initial=0) >= shape.words - 1))
-        row, before, after = word_strings(raw[some], left[some], right[some], shape)
-        row = some[row]
-        at, need = _needed(before, after, shape)
-        at = np.minimum(at, symbols.shape[1] - 1)
-        fits = run[row, at] >= need
-        row, before, after, at, need = row[fits], before[fits], after[fits], at[fits], need[fits]
-        wanted[row, at] = True
+    wanted[:, :places] = runs_ahead(symbols)[:, :places] >= least
     shared = shared_blocks(symbols, wanted)
-    of_words = None
-    if shape.words:
-        fits = shared[row, at] >= need
-        of_words = row[fits], before[fits], after[fits]
     row, block = np.nonzero(shared[:, :places] >= least)
-    return (row, block, shared[row, block]), of_words
+    return row, block, shared[row, block]
 
 
 def strings_from(row: np.ndarray, block: np.ndarray, shared: np.ndarray, left: np.ndarray, right: np.ndarray, shape: Shape):
@@ -373,7 +323,7 @@ def repeated(group: np.ndarray, left: np.ndarray, contexts: list[bytes], shape:
     """
     sizes, raw = np.array([len(c) for c in contexts]), laid(contexts, left, shape)
     right = sizes - left
-    (row, block, shared), of_words = candidates(block_symbols(group, left, raw, sizes, shape), raw, left, right, shape)
+    row, block, shared = candidates(block_symbols(group, left, raw, sizes, shape), shape)
     out = []
     if cell is None:
         own = row[np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]]
@@ -391,12 +341,44 @@ def repeated(group: np.ndarray, left: np.ndarray, contexts: list[bytes], shape:
         row, block, shared = row[many], block[many], shared[many]
     out.append(found_twice(raw, group, left, right, *_inside(strings_from(row, block, shared, left, right, shape), cell), shape))
     out = [union_of(*(np.concatenate(x) for x in zip(*out)), shape)]
-    if shape.words:
-        out.append(union_of(*found_twice(raw, group, left, right, *_inside(of_words, cell), shape), shape))
+    if shape.words and cell is None:
+        order = np.array(sorted(range(len(contexts)), key=lambda k: (group[k], contexts[k][left[k] :])))
+        out.append(union_of(*passages(raw, group, left, right, order, shape), shape))
     words = np.repeat(np.arange(len(out)) > 0, [len(x[0]) for x in out])
     return (*(np.concatenate(x) for x in zip(*out)), words)
 
 
+def passages(raw: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, order: np.ndarray, shape: Shape):
+    """(context, bytes before the anchor, bytes from it) of ``shape.words`` or more whole words that neighbours in ``order`` share."""
+    a, b = order[:-1], order[1:]
+    met = group[a] == group[b]
+    a, b = a[met], b[met]
+    back, on = common(raw, left, right, a, b, shape)
+    long = back + on >= 2 * shape.words - 1
+    a, b, back, on = a[long], b[long], back[long], on[long]
+    out = []
+    for k in range(0, len(a), 1024):
+        x, y, low, high = a[k : k + 1024], b[k : k + 1024], shape.left - back[k : k + 1024], shape.left + on[k : k + 1024]
+        column = np.arange(shape.width + 1)
+        # -1: not shared, 0: white space, 1: in a word
+        kind = np.zeros((len(x), shape.width + 2), np.int8)
+        kind[:, 1:-1] = NONSPACE[raw[x]]
+        shared = (column[None, :-1] >= low[:, None]) & (column[None, :-1] < high[:, None])
+        kind[:, 1:-1][~shared] = -1
+        # the texts' own ends are ends of words
+        at = np.arange(len(x))
+        begin, end = (shape.left - low == left[x]) & (left[x] == left[y]) & (left[x] < shape.left), (high - shape.left == right[x]) & (right[x] == right[y]) & (right[x] < shape.length)
+        kind[:, 0] = kind[:, -1] = -1
+        kind[at[begin], low[begin]] = kind[at[end], high[end] + 1] = 0
+        starts, ends = (kind[:, 1:] == 1) & (kind[:, :-1] == 0), (kind[:, :-1] == 1) & (kind[:, 1:] == 0)
+        first, last = np.argmax(starts, axis=1), shape.width - np.argmax(ends[:, ::-1], axis=1)
+        between = (column >= first[:, None]) & (column <= last[:, None])
+        enough = starts.any(1) & ends.any(1) & ((starts & between).sum(1) >= shape.words) & ((ends & between).sum(1) - (ends & (column <= first[:, None])).sum(1) >= shape.words)
+        for own in (x, y):
+            out.append((own[enough], shape.left - first[enough], last[enough] - shape.left))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
 def _inside(strings, cell: np.ndarray | None):
     row, before, after = strings
     if cell is None:
@@ -522,21 +504,35 @@ def _cells(batches, shape: Shape):
     """Contexts of hot anchors -> (key, h, cx, copy, cell): the cells that their strings fall into."""
     for batch in batches:
         for begin in range(0, batch.num_rows, 512):
-            h, cx, copy, left, sums, around = _surveyed(batch.slice(begin, 512), shape)
-            row, before, after, _ = around
+            h, cx, copy, sums, (row, before, after) = _surveyed(batch.slice(begin, 512), shape)
             cell = (before // CELL) << 16 | after // CELL
-            _, one = np.unique(row.astype(np.int64) << 32 | cell, return_index=True)
+            one = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])[: len(row)])
             key = _cell_keys(h.view(np.uint64), sums, row[one], before[one], after[one], shape)
             columns = [key.view(np.int64), h[row[one]], cx[row[one]], copy[row[one]], cell[one].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h", "cx", "copy", "cell"])
 
 
+def _neighbours(batches, shape: Shape):
+    """Contexts of hot anchors in the order of (anchor, bytes from it) -> the passages that neighbours share."""
+    last = None
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 1024):
+            part = batch.slice(begin, 1024)
+            part = pa.concat_batches([last, part]) if last is not None else part
+            h, cx, left = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            contexts, left = part.column(4).to_pylist(), left.astype(np.int64)
+            right = np.array([len(c) for c in contexts], np.int64) - left
+            row, before, after = passages(laid(contexts, left, shape), h, left, right, np.arange(len(h)), shape)
+            stretches = pa.StructArray.from_arrays([pa.array(-before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(np.ones(len(row), np.bool_))], names=["a", "b", "w"])
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h[row]), "cx": pa.array(cx[row]), "ab": pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32)), stretches)})
+            last = part.slice(part.num_rows - 1)
+
+
 def _surveyed(batch: pa.RecordBatch, shape: Shape):
     h, cx, copy, left = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
     contexts, left = batch.column(4).to_pylist(), left.astype(np.int64)
-    raw = laid(contexts, left, shape)
     right = np.array([len(c) for c in contexts], np.int64) - left
-    return h, cx, copy, left, prefix_sums(raw), strings_around(raw, left, right, shape)
+    return h, cx, copy, prefix_sums(laid(contexts, left, shape)), strings_around(left, right, shape)
 
 
 def _dealt(batches, shape: Shape):
@@ -553,18 +549,18 @@ def _dealt(batches, shape: Shape):
 
 
 def _strings(batches, shape: Shape):
-    """Contexts and their hot cells -> (key, h, cx, copy, a, b, w): every string of these cells."""
+    """Contexts and their hot cells -> (key, h, cx, copy, a, b): every string of these cells."""
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             part = batch.slice(begin, 256)
-            h, cx, copy, left, sums, (row, before, after, words) = _surveyed(part, shape)
-            cell = row.astype(np.int64) << 32 | (before // CELL) << 16 | after // CELL
+            h, cx, copy, sums, (row, before, after) = _surveyed(part, shape)
+            cell = row << 32 | (before // CELL) << 16 | after // CELL
             hot = [k << 32 | x["cell"] for k, live in enumerate(part.column(5).to_pylist()) for x in live]
             own = np.isin(cell, np.array(hot, np.int64))
-            row, before, after, words = row[own], before[own], after[own], words[own]
+            row, before, after = row[own], before[own], after[own]
             key = mixed(hashes_of(sums, row, before, after, shape) + h.view(np.uint64)[row]) + mixed((before << 16 | after).astype(np.uint64))
-            columns = [key.view(np.int64), h[row], cx[row], copy[row], -before, after, words]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h", "cx", "copy", "a", "b", "w"])
+            columns = [key.view(np.int64), h[row], cx[row], copy[row], -before.astype(np.int32), after.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h", "cx", "copy", "a", "b"])
 
 
 def _rid(doc_id, text):
@@ -617,12 +613,16 @@ def spans(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFram
 
         more = solved(with_cells(f"n <= {group}").mapInArrow(partial(_dealt, shape=shape), "key bigint, h bigint, cx bigint, left smallint, context binary, cell int"))
         more = stored(more, "hot-repeats")
-        strings = with_cells(f"n > {group}").mapInArrow(partial(_strings, shape=shape), "key bigint, h bigint, cx bigint, copy tinyint, a int, b int, w boolean")
+        strings = with_cells(f"n > {group}").mapInArrow(partial(_strings, shape=shape), "key bigint, h bigint, cx bigint, copy tinyint, a int, b int")
         strings = stored(strings, "hot-strings")
         settled(spark)
         twice = strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        whole = strings.join(twice, "key").select("h", "cx", "a", "b", "w").distinct().groupBy("h", "cx").agg(F.collect_list(F.struct("a", "b", "w")).alias("ab"))
+        whole = strings.join(twice, "key").select("h", "cx", "a", "b").distinct().groupBy("h", "cx").agg(F.collect_list(F.struct("a", "b", F.lit(False).alias("w"))).alias("ab"))
         more = more.unionByName(map_rows(whole, lambda: lambda h, cx, ab: (h, cx, _closed(ab)), _COVERED))
+        if shape.words:  # in ranges of the order, so that no anchor is one task
+            ordered = own.repartitionByRange(width, "h", F.expr("substring(context, left + 1)")).sortWithinPartitions("h", F.expr("substring(context, left + 1)"))
+            more = more.unionByName(stored(ordered.mapInArrow(partial(_neighbours, shape=shape), _COVERED), "hot-passages"))
+            settled(spark)
         # one row a context, so each anchor meets one
         covered_ = covered_.unionByName(more.groupBy("h", "cx").agg(F.array_distinct(F.flatten(F.collect_list("ab"))).alias("ab")))
     place = F.transform("ab", lambda x: F.struct((F.col("pos") + x["a"]).alias("a"), (F.col("pos") + x["b"]).alias("b"), x["w"].alias("w")))
