@@ -7,8 +7,11 @@ the 28 keys that leave out 2 blocks. A key holds 2**16 different fingerprints at
 construction, however often their documents repeat; inside a key exact Hamming distances
 decide, and each group of linked fingerprints leaves as a star, never as all its pairs.
 
-Null and empty texts have fingerprint zero and are linked like any other. Equal texts share a
-fingerprint. A null doc_id is never the least of a component unless all ids in it are null.
+Null and empty texts have fingerprint zero and are linked like any other. Very long texts are
+read whole, a piece of shingles at a time. Equal texts, repeated rows among them, share a
+fingerprint; a bit that is set in exactly half the shingles (a tie) is 0. A null doc_id is never
+the least of a component unless all ids in it are null. An empty table has no rows. Only doc_id
+and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

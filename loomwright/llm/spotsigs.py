@@ -6,10 +6,18 @@ hashes, written in ascending order of their hex digits. A text without a spot (t
 none of the languages) uses every word as an anchor, and a text of fewer than two words
 is one signature. Two fingerprints are compared by the Jaccard coefficient of their sets.
 
-Everything is DataFrame functions. Nulls are empty texts; equal texts have equal fingerprints;
-two empty texts are alike (1). ``near_pairs`` first makes classes of equal fingerprints, deals
-them by set length (sets of too different lengths never meet), takes candidates from shared
-signatures in prefixes ordered by rarity and verifies the exact coefficient.
+Everything is DataFrame functions, and time is linear in a text's length: words are looked up one
+by one, and a run of anchors is read once, however long. ``near_classes`` (the query's) and
+``near_pairs`` first make classes of equal fingerprints, deal them by set length (sets of too
+different lengths never meet), take candidates from shared signatures in prefixes ordered by
+rarity and verify the exact coefficient. ``near_pairs`` gives every pair; ``near_classes`` compares
+the members of a prefix's signature with the shortest of them, and only those that are not alike
+to it with all the others, so a group of near copies leaves as a star.
+
+Nulls are empty texts; equal texts, repeated rows among them, have equal fingerprints; two empty
+texts are alike (1). Very long texts are read whole. Rows of one doc_id (ties) follow each other
+in any order, null ids first. An empty table has no rows. Only doc_id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,7 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
-from ._common import partitions
+from ..operators.components import components
+from ._common import partitions, settled
 
 #: Common words of English, French, German and Spanish that start a spot.
 ANCHORS = (
@@ -120,20 +129,87 @@ def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] |
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    """The contract's rows."""
+    """The contract's rows, and near_class: the least doc_id of those that links of 0.8 or more reach."""
     text = F.coalesce("text", F.lit(""))
-    own = docs.select("doc_id", text.alias("text"))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    # written once: the signatures of the texts serve the row, the row before it and the classes
     both = with_next(own, ["text", "signs"], {"signs": signatures(F.col("text"))})
     size = F.length("text")
     cut = F.floor(size / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - cut), F.substring("next_text", F.lit(1), cut))
     both = both.select("doc_id", size.cast("bigint").alias("n_chars"), edited.alias("edited"), "signs", "next_signs")
-    both = both.select("*", signatures(F.col("edited")).alias("edited_signs"))
-    return both.select(
+    rows = both.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        printed(F.col("signs")).alias("fingerprint"), printed(F.col("edited_signs")).alias("edited_fingerprint"),
-        likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
+        "signs", signatures(F.col("edited")).alias("edited_signs"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
     )
+    rows = stored(rows, "spots")
+    settled(docs.sparkSession)
+    near = near_classes(rows.select("doc_id", "signs"))
+    return rows.join(near.select(F.col("k").alias("own"), "near_class"), F.xxhash64("signs") == F.col("own"), "left").select(
+        "doc_id", "n_chars", "edited_sha256", printed(F.col("signs")).alias("fingerprint"), printed(F.col("edited_signs")).alias("edited_fingerprint"),
+        likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), "near_next", "near_class",
+    )
+
+
+#: Signatures are ordered by how often those of their share of the hash space occur; so many shares.
+SHARES = 1 << 16
+
+
+def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
+    """(k, n, s): of each class the signatures among which two sets that reach the threshold share one.
+
+    Any one order of all signatures serves; counts by share of the hash space, a fixed number of them,
+    put frequent ones last. Sets that are too short to be alike to another one have no row.
+    """
+    share = lambda s: s.bitwiseAND(F.lit(SHARES - 1)).cast("int")
+    counts = classes.select(F.explode("signs").alias("s")).groupBy(share(F.col("s")).alias("share")).agg(F.count(F.lit(1)).alias("d")).collect()  # SHARES rows at most
+    spread = [0] * SHARES
+    for r in counts:
+        spread[r.share] = r.d
+    often = F.split(F.lit(",".join(map(str, spread))), ",").cast("array<bigint>")  # folded into one constant
+    by = F.sort_array(F.transform("signs", lambda s: F.struct(F.get(often, share(s)).alias("d"), s.alias("s"))))
+    sized = classes.select("k", F.size("signs").alias("n"), by.alias("by")).filter(F.col("n") >= math.floor(threshold / (1 - threshold) + 1e-9))
+    prefix = F.slice("by", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
+    return sized.select("k", "n", F.explode(prefix).alias("p")).select("k", "n", F.col("p.s").alias("s"))
+
+
+def _band(n: Column, threshold: float) -> Column:
+    """Lengths within the threshold lie in one band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(1 / threshold)).cast("int")
+
+
+def near_classes(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(k, near_class) from (doc_id, signs): of each different set (k, its hash) the least doc_id that links reach.
+
+    A link joins two sets whose coefficient is ``threshold`` or more. In a bucket (a signature of the
+    prefix and a length band) the shortest set leads; sets that are alike to it leave with one link,
+    and each of the others is compared with all of the bucket, so no link is lost.
+    """
+    classes = signed.groupBy(F.xxhash64("signs").alias("k")).agg(F.min("doc_id").alias("id"), F.first("signs").alias("signs"))
+    classes = stored(classes, "spot-classes")
+    signs = classes.select("k", "signs")
+    band = _band(F.col("n"), threshold)
+    rare = _prefixes(classes, threshold).select("k", "n", "s", F.explode(F.array(band, band + 1)).alias("band"))
+    rare = stored(rare, "spot-prefixes")
+    lead = rare.groupBy("s", "band").agg(F.min(F.struct("n", "k")).alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    led = rare.join(lead, ["s", "band"]).select("s", "band", "k", "n", F.col("lead.k").alias("to"), F.col("lead.n").alias("to_n")).filter(F.col("k") != F.col("to"))
+    led = stored(led, "spot-led")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """(k, to) of the pairs that reach the threshold; lengths that differ too much are left out first."""
+        fits = pairs.filter(F.least("n", "to_n") >= F.greatest("n", "to_n") * threshold - 1e-9).select("k", "to").distinct()
+        met = fits.join(signs, "k").join(signs.select(F.col("k").alias("to"), F.col("signs").alias("other")), "to")
+        return met.filter(likeness(F.col("signs"), F.col("other")) >= threshold - 1e-12).select("k", "to")
+
+    first = stored(alike(led), "spot-stars")
+    open_ = led.join(first, ["k", "to"], "left_anti").select("s", "band", "k", "n")
+    others = rare.select("s", "band", F.col("k").alias("to"), F.col("n").alias("to_n"))
+    settled(signed.sparkSession)
+    second = alike(open_.join(others, ["s", "band"]).filter(F.col("k") != F.col("to")).select(F.least("k", "to").alias("k"), F.greatest("k", "to").alias("to"), "n", "to_n"))
+    roots = components(first.unionByName(second).select(F.col("k").alias("u"), F.col("to").alias("v")))
+    rooted = classes.select("k", "id").join(roots, F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("near_class"))
+    return rooted.select("k", "root").join(least, "root").select("k", "near_class")
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -144,15 +220,10 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     threshold share a signature among the n - ceil(threshold n) + 1 rarest of each.
     """
     own = stored(docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("signs")), "spots")
-    classes = stored(own.groupBy(F.xxhash64("signs").alias("k"), "signs").agg(F.min("doc_id").alias("class")), "spot-classes")
+    classes = stored(own.groupBy("signs").agg(F.min("doc_id").alias("class")), "spot-classes")
     membership = own.join(classes, "signs").select("doc_id", "class")
-    each = classes.select("class", F.size("signs").alias("n"), F.explode("signs").alias("s"))
-    spread = each.groupBy("s").agg(F.count(F.lit(1)).alias("d"))
-    ranked = each.join(spread, "s").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("d", "s"))).alias("by"))
-    prefix = F.slice("by", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
-    rare = ranked.select("class", "n", F.explode(prefix).alias("p")).select("class", "n", F.col("p.s").alias("s"))
-    # length bands: lengths within the threshold lie in one band or in neighbouring ones
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold)).cast("int")
+    rare = _prefixes(classes.withColumnRenamed("class", "k"), threshold).withColumnRenamed("k", "class")
+    band = _band(F.col("n"), threshold)
     left = rare.select(F.col("class").alias("a"), F.col("n").alias("na"), "s", F.explode(F.array(band, band + 1)).alias("band"))
     right = rare.select(F.col("class").alias("b"), F.col("n").alias("nb"), "s", band.alias("band"))
     fits = (F.col("na") <= F.col("nb")) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
