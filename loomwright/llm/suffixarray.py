@@ -16,10 +16,11 @@ a string is a candidate if the suffix at its first whole block shares all its wh
 neighbour in the order. Candidates meet by hash inside one anchor, and their bytes are compared.
 (4) The covered bytes are joined to the documents and cut out.
 
-An anchor with more than ``GROUP`` contexts is dealt by a second key as well, the block of bytes
-that its strings share (``_cells``), so that no anchor is one task; the suffix arrays then are
-those of the contexts that share it. Where even more contexts share that, the key is the whole
-string, and what has the same key is the same string. No size is left out.
+An anchor with more than ``GROUP`` contexts is no single task: its contexts are sorted by their
+suffixes from the anchor on, over ranges of that order, and each is compared with its neighbours,
+byte by byte. A string that the one before has as well is done. The others of all runs of equal
+neighbours meet by a second key, the bytes that strings of one cell (``CELLS`` starts) share, in
+ever smaller cells, until the key is the string. So both ways find the same strings at any size.
 
 With ``Shape.words`` shorter passages are marked as well: anchors then are dense enough for every
 string of that many words, and each context is compared with its neighbours in the order of the
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._anchors import NONSPACE, anchors, word_anchors
-from ..functions.storage import stored
+from ..functions.storage import discard, stored
 from ._common import map_rows, partitions, settled
 from ._words import _BACK, _BYTE, _POWER, mixed
 
@@ -74,13 +75,13 @@ class Shape(NamedTuple):
 
 SHAPE = Shape()
 #: The query's: passages of 50 words are reported besides.
-PASSAGES = Shape(words=50)
+PASSAGES = Shape(block=128, words=50)
 #: Contexts of one key that one suffix array may take.
 GROUP = 4096
 #: Contexts taken together into one suffix array.
 TOGETHER = 1024
-#: Strings of a hot anchor are dealt by where they begin and end, in steps of so many bytes.
-CELL = 46
+#: Strings of a hot anchor meet in cells of so many starts.
+CELLS = (46, 6, 1)
 
 
 def suffix_order(symbols: list[int]) -> list[int]:
@@ -227,13 +228,6 @@ def laid(contexts: list[bytes], left: np.ndarray, shape: Shape = SHAPE) -> np.nd
     return np.frombuffer(b"".join(r + zero[: size - len(r)] for r in rows), np.uint8).reshape(len(contexts), size)
 
 
-def strings_around(left: np.ndarray, right: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, bytes before the anchor, bytes from it) of every long string around the anchors."""
-    span = np.arange(shape.left + 1)
-    row, before = np.nonzero((span <= left[:, None]) & (shape.length - span <= right[:, None]))
-    return row, before, shape.length - before
-
-
 def candidates(symbols: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, block, blocks shared): where strings begin whose whole blocks the suffix array finds in another place."""
     least = (shape.length - shape.block + 1) // shape.block  # whole blocks of any string
@@ -315,33 +309,29 @@ def found_twice(raw: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.
 PAIRED = 6
 
 
-def repeated(group: np.ndarray, left: np.ndarray, contexts: list[bytes], shape: Shape = SHAPE, cell: np.ndarray | None = None):
+def repeated(group: np.ndarray, left: np.ndarray, contexts: list[bytes], shape: Shape = SHAPE):
     """(context, from, to, of words): bytes relative to the anchor that strings found in two contexts of a group cover.
 
-    Contexts of a group stand together. ``cell``: of each context, the steps of ``CELL`` bytes where
-    its strings begin and end; others are left aside.
+    Contexts of a group stand together.
     """
     sizes, raw = np.array([len(c) for c in contexts]), laid(contexts, left, shape)
     right = sizes - left
     row, block, shared = candidates(block_symbols(group, left, raw, sizes, shape), shape)
-    out = []
-    if cell is None:
-        own = row[np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]]
-        begins = np.flatnonzero(np.concatenate([[True], group[own[1:]] != group[own[:-1]]])[: len(own)])
-        count = np.repeat(np.diff(np.append(begins, len(own))), np.diff(np.append(begins, len(own))))
-        few = own[count <= PAIRED]
-        for apart in range(1, PAIRED):
-            a, b = few[:-apart], few[apart:]
-            met = group[a] == group[b]
-            a, b = a[met], b[met]
-            back, on = common(raw, left, right, a, b, shape)
-            long = back + on >= shape.length
-            out += [(a[long], back[long], on[long]), (b[long], back[long], on[long])]
-        many = ~np.isin(row, few)
-        row, block, shared = row[many], block[many], shared[many]
-    out.append(found_twice(raw, group, left, right, *_inside(strings_from(row, block, shared, left, right, shape), cell), shape))
+    own = row[np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]]
+    begins = np.flatnonzero(np.concatenate([[True], group[own[1:]] != group[own[:-1]]])[: len(own)])
+    count = np.repeat(np.diff(np.append(begins, len(own))), np.diff(np.append(begins, len(own))))
+    few, out = own[count <= PAIRED], []
+    for apart in range(1, PAIRED):
+        a, b = few[:-apart], few[apart:]
+        met = group[a] == group[b]
+        a, b = a[met], b[met]
+        back, on = common(raw, left, right, a, b, shape)
+        long = back + on >= shape.length
+        out += [(a[long], back[long], on[long]), (b[long], back[long], on[long])]
+    many = ~np.isin(row, few)
+    out.append(found_twice(raw, group, left, right, *strings_from(row[many], block[many], shared[many], left, right, shape), shape))
     out = [union_of(*(np.concatenate(x) for x in zip(*out)), shape)]
-    if shape.words and cell is None:
+    if shape.words:
         order = np.array(sorted(range(len(contexts)), key=lambda k: (group[k], contexts[k][left[k] :])))
         out.append(union_of(*passages(raw, group, left, right, order, shape), shape))
     words = np.repeat(np.arange(len(out)) > 0, [len(x[0]) for x in out])
@@ -379,14 +369,6 @@ def passages(raw: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.nda
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def _inside(strings, cell: np.ndarray | None):
-    row, before, after = strings
-    if cell is None:
-        return strings
-    own = (before // CELL == cell[row, 0]) & (after // CELL == cell[row, 1])
-    return row[own], before[own], after[own]
-
-
 def union_of(row: np.ndarray, before: np.ndarray, after: np.ndarray, shape: Shape):
     """Strings -> (context, from, to): what they cover, relative to the anchor; touching stretches are one."""
     size = 2 * shape.length
@@ -457,14 +439,12 @@ def _cut_out(batches, shape: Shape):
 
 
 def _gathered(batches, shape: Shape):
-    """(key, h, cx, left, context, cell) sorted by key -> what is repeated, some whole keys at a time."""
+    """(h, cx, left, context) sorted by anchor -> what is repeated, some whole anchors at a time."""
 
     def solved(parts):
         batch = pa.concat_batches(parts)
-        key, h, cx, left = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        cell = batch.column(5).to_numpy(zero_copy_only=False)
-        cells = np.stack([cell >> 16, cell & 0xFFFF], axis=1) if len(cell) and cell.max() >= 0 else None
-        row, a, b, w = repeated(key.view(np.uint64), left.astype(np.int64), batch.column(4).to_pylist(), shape, cells)
+        h, cx, left = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        row, a, b, w = repeated(h.view(np.uint64), left.astype(np.int64), batch.column(3).to_pylist(), shape)
         order = np.argsort(row, kind="stable")
         row, a, b, w = row[order], a[order], b[order], w[order]
         begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
@@ -493,74 +473,100 @@ def _gathered(batches, shape: Shape):
         yield solved(held)
 
 
-def _cell_keys(key, sums, row, before, after, shape: Shape) -> np.ndarray:
-    """A key of each string: its anchor, its cell, and the bytes that all strings of the cell hold."""
-    a, b = before // CELL, after // CELL
-    value = hashes_of(sums, row, a * CELL, b * CELL, shape)
-    return mixed(value + key[row]) + mixed((a << 16 | b).astype(np.uint64))
-
-
-def _cells(batches, shape: Shape):
-    """Contexts of hot anchors -> (key, h, cx, copy, cell): the cells that their strings fall into."""
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 512):
-            h, cx, copy, sums, (row, before, after) = _surveyed(batch.slice(begin, 512), shape)
-            cell = (before // CELL) << 16 | after // CELL
-            one = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])[: len(row)])
-            key = _cell_keys(h.view(np.uint64), sums, row[one], before[one], after[one], shape)
-            columns = [key.view(np.int64), h[row[one]], cx[row[one]], copy[row[one]], cell[one].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h", "cx", "copy", "cell"])
+_ORDERED = _CONTEXT_SQL + f", ab {_STRETCHES}, low int, high int"
 
 
 def _neighbours(batches, shape: Shape):
-    """Contexts of hot anchors in the order of (anchor, bytes from it) -> the passages that neighbours share."""
-    last = None
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 1024):
-            part = batch.slice(begin, 1024)
-            part = pa.concat_batches([last, part]) if last is not None else part
-            h, cx, left = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
-            contexts, left = part.column(4).to_pylist(), left.astype(np.int64)
-            right = np.array([len(c) for c in contexts], np.int64) - left
-            row, before, after = passages(laid(contexts, left, shape), h, left, right, np.arange(len(h)), shape)
-            stretches = pa.StructArray.from_arrays([pa.array(-before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(np.ones(len(row), np.bool_))], names=["a", "b", "w"])
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h[row]), "cx": pa.array(cx[row]), "ab": pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32)), stretches)})
-            last = part.slice(part.num_rows - 1)
+    """Contexts of hot anchors in the order of (anchor, bytes from it) -> what neighbours share.
 
-
-def _surveyed(batch: pa.RecordBatch, shape: Shape):
-    h, cx, copy, left = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-    contexts, left = batch.column(4).to_pylist(), left.astype(np.int64)
-    right = np.array([len(c) for c in contexts], np.int64) - left
-    return h, cx, copy, prefix_sums(laid(contexts, left, shape)), strings_around(left, right, shape)
+    ``low`` and ``high``: bytes before the anchor where the strings begin that the context before has as well.
+    """
+    held, told = None, 0  # the last two rows: one to compare with, which is told, one that waits for its next
+    for batch in _with_end(batches):
+        part = batch if held is None else held if batch is None else pa.concat_batches([held, batch])
+        if part is None or (batch is not None and part.num_rows < 3):
+            held = part
+            continue
+        h, left = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64), part.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+        contexts, n = part.column(4).to_pylist(), part.num_rows
+        right, raw = np.array([len(c) for c in contexts], np.int64) - left, laid(contexts, left, shape)
+        before, after = np.arange(n - 1), np.arange(1, n)
+        back, on = common(raw, left, right, before, after, shape)
+        back[h[before] != h[after]] = 0
+        on[h[before] != h[after]] = 0
+        low, high = np.append(1, shape.length - on), np.append(0, back)  # of the first row nothing is known
+        long = back + on >= shape.length
+        found = [(before[long], back[long], on[long]), (after[long], back[long], on[long])]
+        out = [union_of(*(np.concatenate(x) for x in zip(*found)), shape)]
+        if shape.words:
+            out.append(union_of(*passages(raw, h, left, right, np.arange(n), shape), shape))
+        words = np.repeat(np.arange(len(out)) > 0, [len(x[0]) for x in out])
+        row, a, b = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(row, kind="stable")
+        ends = np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)
+        stretches = pa.StructArray.from_arrays([pa.array(x[order].astype(t)) for x, t in ((a, np.int32), (b, np.int32), (words, np.bool_))], names=["a", "b", "w"])
+        done = part.append_column("ab", pa.ListArray.from_arrays(pa.array(ends), stretches)).append_column("low", pa.array(low.astype(np.int32))).append_column("high", pa.array(high.astype(np.int32)))
+        yield done.slice(told, (n if batch is None else n - 1) - told)
+        held, told = part.slice(n - 2), 1
 
 
-def _dealt(batches, shape: Shape):
-    """Contexts and their live cells -> a row for each cell: (key, h, cx, left, context, cell)."""
+def _with_end(batches):
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            h, cx, _, left, context, live = row
-            if live:
-                names = ["key", "h", "cx", "left", "context", "cell"]
-                n = len(live)
-                columns = [pa.array([x["key"] for x in live], pa.int64()), pa.array([h] * n, pa.int64()), pa.array([cx] * n, pa.int64()), pa.array([left] * n, pa.int16()),
-                           pa.array([context] * n, pa.binary()), pa.array([x["cell"] for x in live], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for begin in range(0, batch.num_rows, 1024):
+            yield batch.slice(begin, 1024)
+    yield None
+
 
+def _cells(batches, shape: Shape, width: int, parent: int | None):
+    """Contexts of hot anchors -> (key, h, cx, copy, cell): cells of ``width`` starts of the strings that the context before lacks.
 
-def _strings(batches, shape: Shape):
-    """Contexts and their hot cells -> (key, h, cx, copy, a, b): every string of these cells."""
+    With ``parent`` only starts in the live cells of that width, which come as the last column.
+    """
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             part = batch.slice(begin, 256)
-            h, cx, copy, sums, (row, before, after) = _surveyed(part, shape)
-            cell = row << 32 | (before // CELL) << 16 | after // CELL
-            hot = [k << 32 | x["cell"] for k, live in enumerate(part.column(5).to_pylist()) for x in live]
-            own = np.isin(cell, np.array(hot, np.int64))
-            row, before, after = row[own], before[own], after[own]
-            key = mixed(hashes_of(sums, row, before, after, shape) + h.view(np.uint64)[row]) + mixed((before << 16 | after).astype(np.uint64))
-            columns = [key.view(np.int64), h[row], cx[row], copy[row], -before.astype(np.int32), after.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h", "cx", "copy", "a", "b"])
+            h, cx, copy, left, low, high = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 5, 6))
+            contexts, left = part.column(4).to_pylist(), left.astype(np.int64)
+            right = np.array([len(c) for c in contexts], np.int64) - left
+            span = np.arange(shape.left + 1)
+            open_ = (span <= left[:, None]) & (shape.length - span <= right[:, None]) & ((span < low[:, None]) | (span > high[:, None]))
+            if parent:
+                live = np.zeros((len(h), shape.left // parent + 1), np.bool_)
+                cells = part.column(7)
+                ends = cells.offsets.to_numpy()
+                live[np.repeat(np.arange(len(h)), np.diff(ends)), cells.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]] = True
+                open_ &= live[:, span // parent]
+            places = np.arange(0, shape.left + 1, width)
+            row, cell = np.nonzero(np.logical_or.reduceat(open_, places, axis=1))
+            # all strings of a cell hold these bytes
+            first, last = cell * width, np.minimum((cell + 1) * width - 1, shape.left)
+            key = mixed(hashes_of(prefix_sums(laid(contexts, left, shape)), row, first, shape.length - last, shape) + h.view(np.uint64)[row]) + mixed(cell.astype(np.uint64))
+            columns = [key.view(np.int64), h[row], cx[row], copy[row], cell.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h", "cx", "copy", "cell"])
+
+
+def _hot(contexts: DataFrame, shape: Shape) -> DataFrame:
+    """What is repeated (h, cx, ab) of contexts of hot anchors, none of which is one task."""
+    spark, suffix = contexts.sparkSession, F.expr("substring(context, left + 1)")
+    ordered = contexts.repartitionByRange(partitions(contexts), "h", suffix).sortWithinPartitions("h", suffix)
+    ordered = stored(ordered.mapInArrow(partial(_neighbours, shape=shape), _ORDERED), "hot-order")
+    settled(spark)
+    own, parent, steps = ordered.select(*_CONTEXT.names, "low", "high"), None, []
+    for width in CELLS:
+        cells = own.mapInArrow(partial(_cells, shape=shape, width=width, parent=parent), "key bigint, h bigint, cx bigint, copy tinyint, cell int")
+        cells = stored(cells, f"hot-cells-{width}")
+        twice = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+        live = stored(cells.join(twice, "key").groupBy("h", "cx", "copy").agg(F.collect_list("cell").alias("live")), f"hot-live-{width}")
+        discard(cells)
+        settled(spark)
+        own, parent = ordered.join(live, ["h", "cx", "copy"]).select(*_CONTEXT.names, "low", "high", "live"), width
+        steps.append(live)
+    length = shape.length
+    starts = map_rows(live.select("h", "cx", "live"), lambda: lambda h, cx, own: (h, cx, [(a, b, False) for a, b in _union([(-o, length - o) for o in own])]), _COVERED)
+    found = ordered.select("h", "cx", "ab").filter("size(ab) > 0").unionByName(starts)
+    found = stored(found.groupBy("h", "cx").agg(F.array_distinct(F.flatten(F.collect_list("ab"))).alias("ab")), "hot-repeats")
+    discard(ordered, *steps)
+    return found
 
 
 def _rid(doc_id, text):
@@ -581,6 +587,7 @@ def spans(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFram
     place = F.struct("rid", "pos")
     each = found.groupBy("h", "cx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("two"))
     each = stored(each.join(varied, "h", "left").filter("n > 1 or m > 1"), "contexts")
+    discard(varied)
     settled(spark)
     hot = each.filter(f"m > {group}").groupBy("h").agg(F.count(F.lit(1)).alias("k"))
     hot = stored(hot.filter(f"k > {group}").select("h"), "hot")
@@ -593,48 +600,18 @@ def spans(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFram
         spots = spots.groupBy("_rid").agg(F.collect_list("spot").alias("spots"))
         return keyed.join(spots, "_rid").select("text", "spots").mapInArrow(partial(_cut_out, shape=shape), _CONTEXT_SQL)
 
-    def solved(rows: DataFrame) -> DataFrame:
-        return rows.repartition(width, "key").sortWithinPartitions("key").mapInArrow(partial(_gathered, shape=shape), _COVERED)
-
-    own = contexts("left_anti").select(F.col("h").alias("key"), "h", "cx", "left", "context", F.lit(-1).alias("cell"))
+    dealt = contexts("left_anti").select("h", "cx", "left", "context").repartition(width, "h").sortWithinPartitions("h")
     # no name is kept for what is only written: its shuffle files go with the next ``settled``
-    covered_ = stored(solved(own), "repeats")
+    covered = stored(dealt.mapInArrow(partial(_gathered, shape=shape), _COVERED), "repeats")
     settled(spark)
     if hot.limit(1).count():
-        own = stored(contexts("left_semi"), "hot-contexts")
-        cells = stored(own.mapInArrow(partial(_cells, shape=shape), "key bigint, h bigint, cx bigint, copy tinyint, cell int"), "hot-cells")
-        settled(spark)
-        shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        live = stored(cells.join(shared, "key"), "hot-live")
-
-        def with_cells(where: str) -> DataFrame:
-            some = live.filter(where).groupBy("h", "cx", "copy").agg(F.collect_list(F.struct("key", "cell")).alias("live"))
-            return own.join(some, ["h", "cx", "copy"]).select(*_CONTEXT.names, "live")
-
-        more = solved(with_cells(f"n <= {group}").mapInArrow(partial(_dealt, shape=shape), "key bigint, h bigint, cx bigint, left smallint, context binary, cell int"))
-        more = stored(more, "hot-repeats")
-        strings = with_cells(f"n > {group}").mapInArrow(partial(_strings, shape=shape), "key bigint, h bigint, cx bigint, copy tinyint, a int, b int")
-        strings = stored(strings, "hot-strings")
-        settled(spark)
-        twice = strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        whole = strings.join(twice, "key").select("h", "cx", "a", "b").distinct().groupBy("h", "cx").agg(F.collect_list(F.struct("a", "b", F.lit(False).alias("w"))).alias("ab"))
-        more = more.unionByName(map_rows(whole, lambda: lambda h, cx, ab: (h, cx, _closed(ab)), _COVERED))
-        if shape.words:  # in ranges of the order, so that no anchor is one task
-            ordered = own.repartitionByRange(width, "h", F.expr("substring(context, left + 1)")).sortWithinPartitions("h", F.expr("substring(context, left + 1)"))
-            more = more.unionByName(stored(ordered.mapInArrow(partial(_neighbours, shape=shape), _COVERED), "hot-passages"))
-            settled(spark)
-        # one row a context, so each anchor meets one
-        covered_ = covered_.unionByName(more.groupBy("h", "cx").agg(F.array_distinct(F.flatten(F.collect_list("ab"))).alias("ab")))
+        covered = covered.unionByName(_hot(contexts("left_semi"), shape))
+    discard(each, hot)
     place = F.transform("ab", lambda x: F.struct((F.col("pos") + x["a"]).alias("a"), (F.col("pos") + x["b"]).alias("b"), x["w"].alias("w")))
-    met = found.join(covered_, ["h", "cx"]).select(F.col("rid").alias("_rid"), place.alias("ab"))
+    met = found.join(covered, ["h", "cx"]).select(F.col("rid").alias("_rid"), place.alias("ab"))
     return met.groupBy("_rid").agg(F.flatten(F.collect_list("ab")).alias("spots"))
 
 
-def _closed(ab) -> list[tuple[int, int, bool]]:
-    """Stretches of a context with touching ones joined, each kind by itself."""
-    return [(a, b, w) for w in (False, True) for a, b in _union([(x["a"], x["b"]) for x in ab if x["w"] == w])]
-
-
 def _union(found) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):

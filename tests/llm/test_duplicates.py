@@ -79,21 +79,25 @@ def test_simhash_odd_rows(odd, none):
 
 
 def plain_near(texts):
-    """Classes by comparing every pair: a part with 3 equal bytes, and few bits apart in all."""
-    prints = {k: np.array(nearcopies.fingerprint(t), np.int64).view(np.uint64) for k, t in texts.items()}
-    root = {k: k for k in prints}
+    """Classes by comparing every pair: 5-word shingles, kept as text, with a Jaccard coefficient of 0.8 or more."""
+    sets = {}
+    for k, t in texts.items():
+        words = re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+        sets[k] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    root = {k: k for k in sets}
 
     def find(k):
         while root[k] != k:
             k = root[k]
         return k
 
-    for a in prints:
-        for b in prints:
-            if a < b and np.bitwise_count(d := prints[a] ^ prints[b]).sum() <= nearcopies.FAR:
-                if any(sum(not int(x) >> 8 * i & 255 for i in range(8)) >= nearcopies.SAME for x in d):
+    for a in sets:
+        for b in sets:
+            if a < b and 0.8 * len(sets[a]) <= len(sets[b]) <= len(sets[a]) / 0.8 and find(a) != find(b):
+                both = len(sets[a] & sets[b])
+                if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
                     root[max(find(a), find(b))] = min(find(a), find(b))
-    return {k: find(k) for k in prints}
+    return {k: find(k) for k in sets}
 
 
 def test_near_copies_brute_force(spark):
