@@ -77,7 +77,7 @@ SHAPE = Shape()
 #: The query's: passages of 50 words are reported besides.
 PASSAGES = Shape(block=128, words=50)
 #: Contexts of one key that one suffix array may take.
-GROUP = 4096
+GROUP = 512
 #: Contexts taken together into one suffix array.
 TOGETHER = 1024
 #: Strings of a hot anchor meet in cells of so many starts.
