@@ -11,12 +11,13 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.storage import discard, stored
 from .operators import counting, graph, pmi, retrieval, temporal
 from .sources import readers
 
 
 def _docs(spark: SparkSession, a) -> DataFrame:
-    return readers.read_lines(spark, a.input).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+    return readers.read_lines(spark, a.input, a.min_split_size).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
 
 
 def _sources(text: str) -> list[int]:
@@ -29,15 +30,19 @@ def _graph(spark, a) -> tuple[DataFrame, DataFrame]:
 
 
 def _counted(make):
-    return lambda spark, a: readers.write_pairs(make(_docs(spark, a), a).coalesce(a.num_reducers), a.output)
+    def run(spark, a):
+        found = make(_docs(spark, a), a)
+        # without the option adaptive execution chooses the width
+        readers.write_pairs(found.repartition(a.num_reducers) if a.num_reducers else found, a.output)
+
+    return run
 
 
 def _build_index(spark, a):
+    if a.min_split_size:
+        readers.widen_splits(spark, a.min_split_size)
     lines = readers.read_lines_with_offset(spark, a.input)
-    index = retrieval.term_frequencies(lines, "docid", "line")
-    grouped = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("docid", "tf"))).alias("postings"))
-    packed = grouped.select("term", "df", retrieval.encoded("postings").alias("data"))
-    readers.write_index(packed, a.output, a.num_reducers if a.num_reducers > 1 else None)
+    readers.write_index(retrieval.compressed(lines, docid="docid", text="line"), a.output, a.num_reducers)
 
 
 def _lookup(spark, a):
@@ -57,7 +62,10 @@ def _boolean(spark, a):
 
 
 def _build_graph(spark, a):
-    readers.write_records(graph.parse_adjacency(readers.read_lines(spark, a.input)), a.output)
+    text = readers.read_lines(spark, a.input, a.min_split_size)
+    readers.write_records(graph.parse_adjacency(text), a.output)
+    bad = graph.bad_numbers(text).first()
+    print(f"Left out: {bad.n_lines} lines without an id, {bad.n_neighbours} neighbours that are no numbers")
 
 
 def _partition(spark, a):
@@ -71,7 +79,7 @@ def _pagerank(spark, a):
 
 def _personalized(spark, a):
     nodes, edges = _graph(spark, a)
-    readers.write_records(graph.personalized_pagerank(nodes, edges, _sources(a.sources), a.iterations, a.jump), a.output)
+    readers.write_records(graph.personalized_pagerank(nodes, edges, _sources(a.sources), a.iterations, a.jump, a.tolerance), a.output)
 
 
 def _top(spark, a):
@@ -83,7 +91,8 @@ def _top(spark, a):
 
 
 def _dump(spark, a):
-    readers.write_pairs(graph.dump(spark.read.parquet(a.graph), spark.read.parquet(a.input)), a.output)
+    adj, ranks = spark.read.parquet(a.graph), spark.read.parquet(a.input)
+    readers.write_pairs(graph.dump_each(adj, ranks) if "source" in ranks.columns else graph.dump(adj, ranks), a.output)
 
 
 def _components(spark, a):
@@ -91,10 +100,13 @@ def _components(spark, a):
 
 
 def _hourly(spark, a):
-    messages = temporal.parse_messages(readers.read_lines(spark, a.input)).withColumn("ts", temporal.message_time("timestamp"))
     months = [int(x) for x in a.months.split(",")] if a.months else None
-    found = temporal.hourly_counts_filtered(messages, "message", a.pattern, "ts", months) if a.pattern else temporal.hourly_counts(messages, "ts", months)
-    readers.write_pairs(found.coalesce(1).sortWithinPartitions("date", "hour"), a.output)
+    # a row an hour
+    found = stored(temporal.hourly_counts_of_lines(readers.read_lines(spark, a.input, a.min_split_size), a.pattern, months), "hours")
+    bad = found.filter("date = 'malformed'").first()
+    print(f"Lines that lack fields: {bad.n if bad else 0}")
+    readers.write_pairs(found.filter("date <> 'malformed'").coalesce(1).sortWithinPartitions("date", "hour"), a.output)
+    discard(found)
 
 
 TOOLS = {
@@ -131,8 +143,9 @@ def parser() -> argparse.ArgumentParser:
             continue
         p.add_argument("--input", required=True)
         p.add_argument("--output", required=kind != "top")
+        p.add_argument("--min-split-size", type=int, help="bytes that one task reads at least")
         if kind in ("text", "window", "threshold"):
-            p.add_argument("--num-reducers", type=int, default=1)
+            p.add_argument("--num-reducers", type=int, help="parts of the output; without it the engine chooses")
         if kind == "window":
             p.add_argument("--window", type=int, default=2)
         if kind == "threshold":
@@ -141,10 +154,9 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--num-partitions", type=int, required=True)
             p.add_argument("--range", action="store_true")
         if kind in ("pagerank", "personalized"):
-            p.add_argument("--iterations", type=int, default=10)
+            p.add_argument("--iterations", type=int, help="rounds (10 without a tolerance)")
             p.add_argument("--jump", type=float, default=graph.ALPHA)
-        if kind == "pagerank":
-            p.add_argument("--tolerance", type=float)
+            p.add_argument("--tolerance", type=float, help="stop once no rank moves more")
         if kind == "personalized":
             p.add_argument("--sources", required=True, help="node ids, separated by commas")
         if kind == "top":
@@ -159,6 +171,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
+    if "tolerance" in a and a.tolerance is None and a.iterations is None:
+        a.iterations = 10
     spark = SparkSession.builder.appName(f"loomwright {a.tool}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     TOOLS[a.tool][0](spark, a)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import stored
+from ..functions.storage import discard, stored
 
 
 def _state(links: DataFrame) -> tuple:
@@ -25,10 +25,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     big, small = F.greatest("u", "v"), F.least("u", "v")
     links = links.filter("u <> v").select(big.alias("u"), small.alias("v")).distinct()
-    before = None
+    before, last = None, None
     while True:
         links = stored(links, "components")
-        now = _state(links)
+        if last is not None:
+            discard(last)
+        last, now = links, _state(links)
         if now == before or not now[0]:
             break
         before = now

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +38,8 @@ def cooccurrence_pairs(docs: DataFrame, window: int = 2, unit: str = "line") ->
 
     Pairs are counted once, in text order, and mirrored after the first aggregation.
     """
-    toks = units(docs, unit)
-    pairs = reduce(DataFrame.unionByName, [toks.select(F.explode(distance_pairs(F.col("toks"), d)).alias("p")) for d in range(1, window + 1)])
+    near = F.concat(*[distance_pairs(F.col("toks"), d) for d in range(1, window + 1)])
+    pairs = units(docs, unit).select(F.explode(near).alias("p"))
     ordered = pairs.groupBy(F.col("p.a").alias("w"), F.col("p.b").alias("u")).agg(F.count(F.lit(1)).alias("n"))
     mirrored = ordered.select(F.inline(F.array(F.struct("w", "u", "n"), F.struct(F.col("u").alias("w"), F.col("w").alias("u"), "n"))))
     return mirrored.groupBy("w", "u").agg(F.sum("n").alias("n"))
@@ -53,3 +51,15 @@ def cooccurrence_stripes(docs: DataFrame, window: int = 2, unit: str = "line") -
     entries = F.sort_array(F.collect_list(F.struct("u", "n")))
     joined = F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["u"], e["n"].cast("string"))), " ")
     return pairs.groupBy("w").agg(joined.alias("stripe"))
+
+
+def cooccurrence_maps(docs: DataFrame, window: int = 2, unit: str = "line") -> DataFrame:
+    """(w, stripe): all neighbours of w as a map from neighbour to count."""
+    pairs = cooccurrence_pairs(docs, window, unit)
+    return pairs.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("u", "n"))).alias("stripe"))
+
+
+def merged_maps(stripes: DataFrame) -> DataFrame:
+    """(w, stripe) with maps of one w added up, entry by entry."""
+    entries = stripes.select("w", F.explode("stripe").alias("u", "n")).groupBy("w", "u").agg(F.sum("n").alias("n"))
+    return entries.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("u", "n"))).alias("stripe"))

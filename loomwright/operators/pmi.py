@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from ..functions.text import lines, rounded, tokens
 
 THRESHOLD = 10
@@ -20,30 +21,48 @@ def marginals(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+#: Terms that may be sent to every executor; beyond it lines are put together again by a shuffle.
+SENT_TERMS = 100_000
+
+
+def frequent_terms(df: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, bool]:
+    """(term) at the threshold, and whether they are few enough to be sent to every executor."""
+    some = stored(df.filter(F.col("df") >= threshold).select("term"), "frequent")
+    return some, some.count() <= SENT_TERMS
+
+
 def pair_counts(sets: DataFrame, threshold: int = THRESHOLD, df: DataFrame | None = None) -> DataFrame:
     """(x, y, c_xy) with x < y and at least ``threshold`` common units.
 
-    A pair is no more frequent than its rarer term, so terms below the threshold leave before
-    any pair is made; marginals are those of all terms.
+    A pair is no more frequent than its rarer term, so pairs with a term below the threshold leave
+    where they are made; marginals are those of all terms. The pairs of a line stream into the
+    partial counts one term at a time: a line is never held as an array of its pairs.
     """
-    frequent = (marginals(sets) if df is None else df).filter(F.col("df") >= threshold).select("term")
-    kept = sets.select("id", F.explode("terms").alias("term")).join(frequent, "term")
-    kept = kept.groupBy("id").agg(F.sort_array(F.collect_list("term")).alias("t"))
-    pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    counted = kept.select(F.explode(pairs).alias("p")).groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("c_xy"))
+    frequent, few = frequent_terms(marginals(sets) if df is None else df, threshold)
+    if few:
+        # at most SENT_TERMS, counted above
+        known = [F.broadcast(frequent.withColumnRenamed("term", c)) for c in ("x", "y")]
+        lines_ = sets.select(F.sort_array("terms").alias("t"))
+        left = lines_.select("t", F.posexplode("t").alias("i", "x")).join(known[0], "x", "left_semi")
+        pairs = left.select("x", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("y")).join(known[1], "y", "left_semi")
+    else:
+        kept = sets.select("id", F.explode("terms").alias("term")).join(frequent, "term")
+        kept = kept.groupBy("id").agg(F.sort_array(F.collect_list("term")).alias("t"))
+        pairs = kept.select("t", F.posexplode("t").alias("i", "x")).select("x", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("y"))
+    counted = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c_xy"))
     return counted.filter(F.col("c_xy") >= threshold)
 
 
 def conditional(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(x, y, p_y_given_x) for pairs at the threshold."""
-    df = marginals(sets)
+    df = stored(marginals(sets), "marginals")
     joined = pair_counts(sets, threshold, df).join(df.select(F.col("term").alias("x"), F.col("df").alias("c_x")), "x")
     return joined.select("x", "y", rounded(F.col("c_xy") / F.col("c_x")).alias("p_y_given_x"))
 
 
 def scores(sets: DataFrame, threshold: int = THRESHOLD, total: int | None = None) -> DataFrame:
     """(x, y, c_xy, pmi): ln of the joint share over the product of the shares; total = units."""
-    df = marginals(sets)
+    df = stored(marginals(sets), "marginals")
     counted = pair_counts(sets, threshold, df)
     counted = counted.join(df.select(F.col("term").alias("x"), F.col("df").alias("c_x")), "x")
     counted = counted.join(df.select(F.col("term").alias("y"), F.col("df").alias("c_y")), "y")
@@ -72,10 +91,16 @@ def pmi_top(sets: DataFrame, n: int = 10, threshold: int = THRESHOLD) -> DataFra
 
 
 def pmi_top_for_term(sets: DataFrame, term: str, n: int = 3, threshold: int = THRESHOLD) -> DataFrame:
-    """The partners of highest PMI of one term, on either side of the pair."""
-    mine = pmi_pairs(sets, threshold).filter((F.col("x") == term) | (F.col("y") == term))
-    other = F.when(F.col("x") == term, F.col("y")).otherwise(F.col("x"))
-    return mine.select(F.lit(term).alias("term"), other.alias("partner"), "pmi").orderBy(F.desc("pmi"), "partner").limit(n)
+    """The partners of highest PMI of one term, on either side of the pair. Only lines that hold the term make pairs."""
+    df, total = marginals(sets), sets.agg(F.count(F.lit(1)).alias("n_units"))
+    mine = marginals(sets.filter(F.array_contains("terms", term))).filter(F.col("df") >= threshold)
+    own = mine.filter(F.col("term") == term).select(F.col("df").alias("c_x"))
+    found = mine.filter(F.col("term") != term).select("term", F.col("df").alias("c_xy")).join(df, "term")
+    for one in (own, total):  # one row each
+        found = found.crossJoin(F.broadcast(one))
+    ratio = F.col("c_xy").cast("double") * F.col("n_units") / (F.col("c_x").cast("double") * F.col("df"))
+    found = found.select(F.lit(term).alias("term"), F.col("term").alias("partner"), rounded(F.ln(ratio)).alias("pmi"))
+    return found.orderBy(F.desc("pmi"), "partner").limit(n)
 
 
 def pmi_pair_total(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

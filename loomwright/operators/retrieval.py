@@ -22,9 +22,9 @@ def postings(docs: DataFrame, docid: str = "doc_id", text: str = "text") -> Data
 
 
 def postings_text(index: DataFrame) -> DataFrame:
-    """Postings as ``docid:tf`` separated by blanks."""
+    """Postings as ``docid:tf`` separated by blanks; whole lists or segments."""
     text = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["docid"].cast("string"), p["tf"].cast("string"))), " ")
-    return index.select("term", "df", text.alias("postings"))
+    return index.select(*[c for c in index.columns if c != "postings"], text.alias("postings"))
 
 
 #: Document ids that one task of ``gaps`` or one segment of a posting list spans at most.
@@ -62,21 +62,29 @@ def size_bytes(docs: DataFrame) -> DataFrame:
     return gaps(docs).agg(F.coalesce(total, F.lit(0)).cast("bigint").alias("n_bytes"))
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """(term, data): the compressed index."""
-    return postings(docs).select("term", encoded("postings").alias("data"))
+def compressed(docs: DataFrame, span: int = SPAN, docid: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, segment, df, data): the compressed index; ids in a segment count from its first."""
+    cut = segments(docs, span, docid, text)
+    inside = F.transform("postings", lambda p: F.struct((p["docid"] - F.col("segment") * span).alias("docid"), p["tf"].alias("tf")))
+    return cut.select("term", "segment", "df", encoded(inside).alias("data"))
 
 
-def decompressed(index: DataFrame) -> DataFrame:
+def decompressed(index: DataFrame, span: int = SPAN) -> DataFrame:
     """(term, docid, tf) from the compressed index."""
-    return index.select("term", F.inline(decoded("data")))
+    return index.select("term", "segment", F.inline(decoded("data"))).select("term", (F.col("segment") * span + F.col("docid")).alias("docid"), "tf")
 
 
 def lookup(index: DataFrame, term: str) -> DataFrame:
-    """The term's row; no row for an unknown term."""
+    """The term's rows; no row for an unknown term."""
     return index.filter(F.col("term") == term)
 
 
+def found_postings(index: DataFrame, term: str, span: int = SPAN) -> DataFrame:
+    """(term, segment, df, postings) of one term in a compressed index; only its bytes are decoded."""
+    whole = F.transform(decoded("data"), lambda p: F.struct((F.col("segment") * span + p["docid"]).alias("docid"), p["tf"].alias("tf")))
+    return lookup(index, term).select("term", "segment", "df", whole.alias("postings"))
+
+
 def tf_histogram(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(term, tf, n): documents by how often they hold the term."""
     found = term_frequencies(docs).filter(F.col("term").isin(terms))

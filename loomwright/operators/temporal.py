@@ -49,6 +49,22 @@ def hourly_counts_substring(messages: DataFrame, pattern: str | None = None) ->
     return cut.groupBy(F.concat(number, F.lit("/"), "day", F.lit(" "), "hour").alias("day_hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _guarded(line: str | Column = "value") -> Column:
+    """True for lines with more than one field."""
+    return F.size(F.split(line, "\t")) > 1
+
+
 def malformed(text: DataFrame) -> DataFrame:
     """One row: lines without a tab, which no count includes."""
-    return text.filter(F.size(F.split("value", "\t")) <= 1).agg(F.count(F.lit(1)).alias("n_malformed"))
+    return text.filter(~_guarded()).agg(F.count(F.lit(1)).alias("n_malformed"))
+
+
+def hourly_counts_of_lines(text: DataFrame, pattern: str | None = None, months=MONTHS) -> DataFrame:
+    """(date, hour, n) of message lines (value), and in the same pass a row (``malformed``, null, n) where lines lack fields."""
+    part = F.split("value", "\t")
+    rows = text.select(F.get(part, 1).alias("timestamp"), F.get(part, 3).alias("message"), (~_guarded()).alias("bad")).withColumn("ts", message_time("timestamp"))
+    counted = F.lit(True) if pattern is None else F.coalesce(F.col("message").rlike(pattern), F.lit(False))
+    if months is not None:
+        counted &= F.coalesce(F.month("ts").isin(list(months)), F.lit(False))
+    date, hour = F.when(F.col("bad"), "malformed").otherwise(F.date_format("ts", "M/dd")), F.when(~F.col("bad"), F.date_format("ts", "HH"))
+    return rows.filter(F.col("bad") | counted).groupBy(date.alias("date"), hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))

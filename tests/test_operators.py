@@ -162,3 +162,134 @@ def test_stream(spark, tmp_path):
     query = hourly_stream(stream).writeStream.format("memory").queryName("hourly").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(r.n for r in spark.table("hourly").collect()) == [1, 2]
+
+
+def test_offsets_of_blocks_and_folders(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        many = b"".join(b"line %d of some length\r\n" % k + b"\n" * (k % 3) for k in range(60)) + b"the last, \xff without an end"
+        (tmp_path / "d").mkdir()
+        (tmp_path / "d" / "b.txt").write_bytes(many)
+        (tmp_path / "d" / "a.txt").write_bytes(b"one\ntwo")
+        got = pairs(readers.read_lines_with_offset(spark, str(tmp_path / "d")).selectExpr("docid", "octet_length(line) n"), "docid", "n")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    expected, at = {(0,): 3, (4,): 3}, 0
+    for line in many.split(b"\n"):
+        expected[(readers.FILE_SPAN + at,)] = len(line.rstrip(b"\r"))
+        at += len(line) + 1
+    assert got == expected
+    with gzip.open(tmp_path / "c.gz", "wt") as out:
+        out.write("x\n")
+    with pytest.raises(ValueError, match="compressed"):
+        readers.read_lines_with_offset(spark, str(tmp_path / "c.gz"))
+
+
+def test_splits_are_widened(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("a b c\n" * 4000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert readers.read_lines(spark, str(tmp_path / "t.txt")).rdd.getNumPartitions() > 3
+        assert readers.read_lines(spark, str(tmp_path / "t.txt"), 1 << 20).rdd.getNumPartitions() == 1
+    finally:
+        for name in ("maxPartitionBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def test_codec_in_batches(spark):
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(1)
+    values = [rnd.choice([1, -1]) * rnd.randrange(1 << rnd.randrange(1, 63)) for _ in range(500)] + [-112, -113, 127, 128, 0, 2**62]
+    data, begins = codec.vints(np.array(values))
+    assert data.tobytes() == b"".join(map(codec.vint, values))
+    got, before = codec.read_vints(data, begins)
+    assert got.tolist() == values and before.tolist() == list(range(len(values) + 1))
+    lists = [sorted(rnd.sample(range(1 << 40), rnd.randrange(6))) for _ in range(50)] + [[]]
+    rows = [(k, [(d, rnd.randrange(1, 400)) for d in own]) for k, own in enumerate(lists)]
+    df = spark.createDataFrame(rows, f"k int, p {codec.POSTINGS}")
+    out = {r.k: (bytes(r.data), [tuple(x) for x in r.back]) for r in df.select("k", codec.encoded("p").alias("data")).select("k", "data", codec.decoded("data").alias("back")).collect()}
+    assert out == {k: (codec.encode(p), p) for k, p in rows}
+
+
+def test_index_in_segments(spark):
+    some = docs(spark, ["a b" if k % 3 else "a" for k in range(40)])
+    index = retrieval.compressed(some, span=7)
+    assert {(r.term, r.docid, r.tf) for r in retrieval.decompressed(index, 7).collect()} == {(r.term, r.docid, r.tf) for r in retrieval.term_frequencies(some).collect()}
+    assert [p.docid for r in retrieval.found_postings(index, "b", 7).orderBy("segment").collect() for p in r.postings] == [k for k in range(40) if k % 3]
+
+
+def test_a_long_line_streams(spark):
+    many = " ".join(f"t{k}" for k in range(3000))
+    sets = pmi.term_sets(docs(spark, [many] * 2 + ["t1 t2"]))
+    assert pmi.pair_counts(sets, 3).collect() == [("t1", "t2", 3)]
+    assert pmi.pmi_pair_total(sets, 2).first().n_pairs == 3000 * 2999 // 2
+    few = pmi.SENT_TERMS
+    try:
+        pmi.SENT_TERMS = 1
+        assert pmi.pair_counts(sets, 3).collect() == [("t1", "t2", 3)]
+    finally:
+        pmi.SENT_TERMS = few
+
+
+def test_top_for_term_is_the_pairs_table(spark):
+    sets = pmi.term_sets(docs(spark, ["a b c", "a b", "c b", "a d", "d"]))
+    every = pmi.pmi_pairs(sets, 1).filter("x = 'b' or y = 'b'").selectExpr("if(x = 'b', y, x) partner", "pmi")
+    expected = [tuple(r) for r in every.orderBy("pmi", "partner", ascending=[False, True]).collect()]
+    assert [tuple(r)[1:] for r in pmi.pmi_top_for_term(sets, "b", 10, 1).collect()] == expected
+
+
+def test_stripes_as_maps(spark):
+    maps = counting.cooccurrence_maps(docs(spark, ["a b a"]))
+    assert pairs(maps, "w", "stripe") == {("a",): {"a": 2, "b": 2}, ("b",): {"a": 2}}
+    assert pairs(counting.merged_maps(maps.unionByName(maps)), "w", "stripe") == {("a",): {"a": 4, "b": 4}, ("b",): {"a": 4}}
+
+
+def test_convergence_and_counters(spark):
+    nodes = spark.createDataFrame([(k,) for k in range(1, 7)], "id bigint")
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 1), (3, 1), (4, 9), (5, 4)], "src bigint, dst bigint")
+    long = pairs(graph.pagerank(nodes, edges, 150), "id", "p")
+    got = pairs(graph.pagerank(nodes, edges, tolerance=1e-10), "id", "p")
+    assert all(abs(got[k] - v) < 1e-9 for k, v in long.items()) and abs(sum(got.values()) - 1) < 1e-9
+    long = pairs(graph.personalized_pagerank(nodes, edges, [1, 5], 150), "source", "id", "p")
+    got = pairs(graph.personalized_pagerank(nodes, edges, [1, 5], tolerance=1e-10), "source", "id", "p")
+    assert len(got) == 12 and all(abs(got[k] - v) < 1e-9 for k, v in long.items())
+    told = graph.pagerank(nodes, edges, 2, trace=True).collect()
+    assert [tuple(r)[2:] for r in told] == [(6, 7, 7, 5, 4, 1)] * 2
+    assert [r.id for r in graph.in_order(graph.pagerank(nodes, edges, 3)).collect()][:2] == [3, 1]
+    twice = spark.createDataFrame([(1, 0.5), (1, 0.4), (2, 0.1)], "id bigint, p double")
+    with pytest.raises(Exception, match="two ranks"):
+        graph.top_n(twice, 2).collect()
+
+
+def test_bad_numbers_are_counted(spark):
+    text = spark.createDataFrame([("1 2 x",), ("y 3",), ("2 1",)], "value string")
+    assert pairs(graph.parse_adjacency(text), "id", "adj") == {(1,): [2], (2,): [1]}
+    assert tuple(graph.bad_numbers(text).first()) == (1, 1)
+
+
+def test_dump_of_many_ranks(spark):
+    adj = spark.createDataFrame([(1, [2, 3]), (2, [])], "id bigint, adj array<bigint>")
+    ranks = spark.createDataFrame([(7, 1, 0.25), (5, 1, 0.5), (5, 2, 0.0), (7, 2, 1.0)], "source bigint, id bigint, p double")
+    assert pairs(graph.dump_each(adj, ranks), "id", "node") == {(1,): "{1 [0.5000, 0.2500] [2, 3]}", (2,): "{2 [0.0000, 1.0000] []}"}
+
+
+def test_lines_that_lack_fields(spark):
+    rows = ["1\tSun Jan 23 00:05:00 +0000 2011\tu\tin Cairo", "2\tSun Jan 23 00:05:00 +0000 2011\tu\tx", "nothing", "", "3\tno time\tu\tx"]
+    text = spark.createDataFrame([(r,) for r in rows], "value string")
+    assert pairs(temporal.hourly_counts_of_lines(text), "date", "hour", "n") == {("1/23", "00"): 2, ("malformed", None): 2}
+    assert pairs(temporal.hourly_counts_of_lines(text, "Cairo"), "date", "hour", "n") == {("1/23", "00"): 1, ("malformed", None): 2}
+
+
+def test_steps_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from loomwright.functions.storage import shared_dir
+
+    far = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="shared"):
+        shared_dir(far("spark://host:7077", None), "x")
+    assert shared_dir(far("spark://host:7077", "s3://b/c/"), "x").startswith("s3://b/c/x-")
+    assert shared_dir(far("local[4]", None), "x").startswith("file:///")
