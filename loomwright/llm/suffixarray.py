@@ -17,10 +17,11 @@ neighbour in the order. Candidates meet by hash inside one anchor, and their byt
 (4) The covered bytes are joined to the documents and cut out.
 
 An anchor with more than ``GROUP`` contexts is no single task: its contexts are sorted by their
-suffixes from the anchor on, over ranges of that order, and each is compared with its neighbours,
-byte by byte. A string that the one before has as well is done. The others of all runs of equal
-neighbours meet by a second key, the bytes that strings of one cell (``CELLS`` starts) share, in
-ever smaller cells, until the key is the string. So both ways find the same strings at any size.
+suffixes from the anchor on (ties: by the bytes before it, read backwards), over ranges of that
+order, and each is compared with the ``BEFORE`` contexts before it, byte by byte. A string that one
+of them has as well is done. The others, the first of each run, meet by a second key, the bytes
+that strings of one cell (``CELLS`` starts) share, in ever smaller cells, until the key is the
+string. So both ways find the same strings at any size.
 
 With ``Shape.words`` shorter passages are marked as well: anchors then are dense enough for every
 string of that many words, and each context is compared with its neighbours in the order of the
@@ -82,6 +83,8 @@ GROUP = 512
 TOGETHER = 1024
 #: Strings of a hot anchor meet in cells of so many starts.
 CELLS = (46, 6, 1)
+#: Contexts before a hot anchor's, in the order of suffixes, that it is compared with.
+BEFORE = 4
 
 
 def suffix_order(symbols: list[int]) -> list[int]:
@@ -473,31 +476,36 @@ def _gathered(batches, shape: Shape):
         yield solved(held)
 
 
-_ORDERED = _CONTEXT_SQL + f", ab {_STRETCHES}, low int, high int"
+_ORDERED = _CONTEXT_SQL + f", ab {_STRETCHES}, shared binary"
 
 
 def _neighbours(batches, shape: Shape):
-    """Contexts of hot anchors in the order of (anchor, bytes from it) -> what neighbours share.
+    """Contexts of hot anchors in the order of suffixes -> what neighbours share.
 
-    ``low`` and ``high``: bytes before the anchor where the strings begin that the context before has as well.
+    ``shared``: a bit for each number of bytes before the anchor, set where a string begins that one of
+    the ``BEFORE`` contexts before has as well.
     """
-    held, told = None, 0  # the last two rows: one to compare with, which is told, one that waits for its next
+    held, told = None, 0  # rows to compare with, and how many of them are told; the others wait for those after them
+    span = np.arange(shape.left + 1)
     for batch in _with_end(batches):
         part = batch if held is None else held if batch is None else pa.concat_batches([held, batch])
-        if part is None or (batch is not None and part.num_rows < 3):
+        if part is None or (batch is not None and part.num_rows <= 2 * BEFORE):
             held = part
             continue
         h, left = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64), part.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
         contexts, n = part.column(4).to_pylist(), part.num_rows
         right, raw = np.array([len(c) for c in contexts], np.int64) - left, laid(contexts, left, shape)
-        before, after = np.arange(n - 1), np.arange(1, n)
-        back, on = common(raw, left, right, before, after, shape)
-        back[h[before] != h[after]] = 0
-        on[h[before] != h[after]] = 0
-        low, high = np.append(1, shape.length - on), np.append(0, back)  # of the first row nothing is known
-        long = back + on >= shape.length
-        found = [(before[long], back[long], on[long]), (after[long], back[long], on[long])]
-        out = [union_of(*(np.concatenate(x) for x in zip(*found)), shape)]
+        shared, found = np.zeros((n, shape.left + 1), np.bool_), []
+        for apart in range(1, min(BEFORE, n - 1) + 1):
+            one, two = np.arange(n - apart), np.arange(apart, n)
+            met = h[one] == h[two]
+            one, two = one[met], two[met]
+            back, on = common(raw, left, right, one, two, shape)
+            long = back + on >= shape.length
+            one, two, back, on = one[long], two[long], back[long], on[long]
+            found += [(one, back, on), (two, back, on)]
+            shared[two] |= (span >= shape.length - on[:, None]) & (span <= back[:, None])
+        out = [union_of(*(np.concatenate(x) for x in zip(*found)), shape)] if found else [(np.zeros(0, np.int64),) * 3]
         if shape.words:
             out.append(union_of(*passages(raw, h, left, right, np.arange(n), shape), shape))
         words = np.repeat(np.arange(len(out)) > 0, [len(x[0]) for x in out])
@@ -505,9 +513,11 @@ def _neighbours(batches, shape: Shape):
         order = np.argsort(row, kind="stable")
         ends = np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)
         stretches = pa.StructArray.from_arrays([pa.array(x[order].astype(t)) for x, t in ((a, np.int32), (b, np.int32), (words, np.bool_))], names=["a", "b", "w"])
-        done = part.append_column("ab", pa.ListArray.from_arrays(pa.array(ends), stretches)).append_column("low", pa.array(low.astype(np.int32))).append_column("high", pa.array(high.astype(np.int32)))
-        yield done.slice(told, (n if batch is None else n - 1) - told)
-        held, told = part.slice(n - 2), 1
+        bits = pa.array([r.tobytes() for r in np.packbits(shared, axis=1)], pa.binary())
+        done = part.append_column("ab", pa.ListArray.from_arrays(pa.array(ends), stretches)).append_column("shared", bits)
+        upto = n if batch is None else n - BEFORE
+        yield done.slice(told, upto - told)
+        held, told = part.slice(max(0, n - 2 * BEFORE)), BEFORE
 
 
 def _with_end(batches):
@@ -525,14 +535,16 @@ def _cells(batches, shape: Shape, width: int, parent: int | None):
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             part = batch.slice(begin, 256)
-            h, cx, copy, left, low, high = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 5, 6))
+            h, cx, copy, left = (part.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            shared = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(len(h), -1)
             contexts, left = part.column(4).to_pylist(), left.astype(np.int64)
             right = np.array([len(c) for c in contexts], np.int64) - left
             span = np.arange(shape.left + 1)
-            open_ = (span <= left[:, None]) & (shape.length - span <= right[:, None]) & ((span < low[:, None]) | (span > high[:, None]))
+            open_ = (span <= left[:, None]) & (shape.length - span <= right[:, None])
+            open_ &= np.unpackbits(shared, axis=1)[:, : shape.left + 1] == 0
             if parent:
                 live = np.zeros((len(h), shape.left // parent + 1), np.bool_)
-                cells = part.column(7)
+                cells = part.column(6)
                 ends = cells.offsets.to_numpy()
                 live[np.repeat(np.arange(len(h)), np.diff(ends)), cells.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]] = True
                 open_ &= live[:, span // parent]
@@ -547,11 +559,11 @@ def _cells(batches, shape: Shape, width: int, parent: int | None):
 
 def _hot(contexts: DataFrame, shape: Shape) -> DataFrame:
     """What is repeated (h, cx, ab) of contexts of hot anchors, none of which is one task."""
-    spark, suffix = contexts.sparkSession, F.expr("substring(context, left + 1)")
-    ordered = contexts.repartitionByRange(partitions(contexts), "h", suffix).sortWithinPartitions("h", suffix)
+    spark, order = contexts.sparkSession, ["h", F.expr("substring(context, left + 1)"), F.expr("reverse(hex(substring(context, 1, left)))")]
+    ordered = contexts.repartitionByRange(partitions(contexts), *order).sortWithinPartitions(*order)
     ordered = stored(ordered.mapInArrow(partial(_neighbours, shape=shape), _ORDERED), "hot-order")
     settled(spark)
-    own, parent, steps = ordered.select(*_CONTEXT.names, "low", "high"), None, []
+    own, parent, steps = ordered.select(*_CONTEXT.names, "shared"), None, []
     for width in CELLS:
         cells = own.mapInArrow(partial(_cells, shape=shape, width=width, parent=parent), "key bigint, h bigint, cx bigint, copy tinyint, cell int")
         cells = stored(cells, f"hot-cells-{width}")
@@ -559,7 +571,7 @@ def _hot(contexts: DataFrame, shape: Shape) -> DataFrame:
         live = stored(cells.join(twice, "key").groupBy("h", "cx", "copy").agg(F.collect_list("cell").alias("live")), f"hot-live-{width}")
         discard(cells)
         settled(spark)
-        own, parent = ordered.join(live, ["h", "cx", "copy"]).select(*_CONTEXT.names, "low", "high", "live"), width
+        own, parent = ordered.join(live, ["h", "cx", "copy"]).select(*_CONTEXT.names, "shared", "live"), width
         steps.append(live)
     length = shape.length
     starts = map_rows(live.select("h", "cx", "live"), lambda: lambda h, cx, own: (h, cx, [(a, b, False) for a, b in _union([(-o, length - o) for o in own])]), _COVERED)
