@@ -91,3 +91,5 @@ def settled(spark: SparkSession) -> None:
     gc.collect()
     time.sleep(0.2)  # the wrappers' release reaches the JVM by another thread
     spark.sparkContext._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local["):
+        time.sleep(1)  # executors delete the files by and by; the next step should not lie beside them

@@ -384,7 +384,7 @@ def union_of(row: np.ndarray, before: np.ndarray, after: np.ndarray, shape: Shap
 
 
 _STRETCHES = "array<struct<a:int,b:int,w:boolean>>"
-_KEYED = "rid binary, pos bigint, h bigint, cx bigint, left smallint, right smallint"
+_KEYED = "rid binary, pos bigint, h bigint, cx bigint"
 _CONTEXT = pa.schema([("h", pa.int64()), ("cx", pa.int64()), ("copy", pa.int8()), ("left", pa.int16()), ("context", pa.binary())])
 _CONTEXT_SQL = "h bigint, cx bigint, copy tinyint, left smallint, context binary"
 _COVERED = f"h bigint, cx bigint, ab {_STRETCHES}"
@@ -395,19 +395,16 @@ def _raws(texts) -> list[np.ndarray]:
 
 
 def _anchor_rows(batches, shape: Shape):
-    names = ["rid", "pos", "h", "cx", "left", "right"]
+    names = ["rid", "pos", "h", "cx"]
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             rids, raws = batch.column(0).slice(begin, 256), _raws(batch.column(1).slice(begin, 256).to_pylist())
             if shape.words:
                 found = word_anchors(raws, shape.length, shape.gram, shape.words)
             else:
-                found = (
-                    (np.full(len(at), k), at, h, cx, np.minimum(at, shape.left), np.minimum(len(raw) - at, shape.length))
-                    for k, raw in enumerate(raws) for at, h, cx in anchors(raw, shape.length, shape.gram)
-                )
-            for of, at, h, cx, left, right in found:
-                columns = [rids.take(pa.array(of)), pa.array(at), pa.array(h.view(np.int64)), pa.array(cx.view(np.int64)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))]
+                found = ((np.full(len(at), k), at, h, cx) for k, raw in enumerate(raws) for at, h, cx in anchors(raw, shape.length, shape.gram))
+            for of, at, h, cx, *_ in found:
+                columns = [rids.take(pa.array(of)), pa.array(at), pa.array(h.view(np.int64)), pa.array(cx.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
