@@ -7,8 +7,7 @@ none of the languages) uses every word as an anchor, and a text of fewer than tw
 is one signature. Two fingerprints are compared by the Jaccard coefficient of their sets.
 
 Everything is DataFrame functions, and time is linear in a text's length: words are looked up one
-by one, and a run of anchors is read once, however long. ``near_classes`` (the query's) and
-``near_pairs`` first make classes of equal fingerprints, deal them by set length (sets of too
+by one, and a run of anchors is read once, however long. ``near_classes`` and ``near_pairs`` first make classes of equal fingerprints, deal them by set length (sets of too
 different lengths never meet), take candidates from shared signatures in prefixes ordered by
 rarity and verify the exact coefficient. ``near_pairs`` gives every pair; ``near_classes`` compares
 the members of a prefix's signature with the shortest of them, and only those that are not alike
@@ -129,25 +128,19 @@ def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] |
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    """The contract's rows, and near_class: the least doc_id of those that links of 0.8 or more reach."""
+    """The contract's rows."""
     text = F.coalesce("text", F.lit(""))
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    # written once: the signatures of the texts serve the row, the row before it and the classes
     both = with_next(own, ["text", "signs"], {"signs": signatures(F.col("text"))})
     size = F.length("text")
     cut = F.floor(size / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - cut), F.substring("next_text", F.lit(1), cut))
     both = both.select("doc_id", size.cast("bigint").alias("n_chars"), edited.alias("edited"), "signs", "next_signs")
-    rows = both.select(
+    both = both.select("*", signatures(F.col("edited")).alias("edited_signs"))
+    return both.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        "signs", signatures(F.col("edited")).alias("edited_signs"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
-    )
-    rows = stored(rows, "spots")
-    settled(docs.sparkSession)
-    near = near_classes(rows.select("doc_id", "signs"))
-    return rows.join(near.select(F.col("k").alias("own"), "near_class"), F.xxhash64("signs") == F.col("own"), "left").select(
-        "doc_id", "n_chars", "edited_sha256", printed(F.col("signs")).alias("fingerprint"), printed(F.col("edited_signs")).alias("edited_fingerprint"),
-        likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), "near_next", "near_class",
+        printed(F.col("signs")).alias("fingerprint"), printed(F.col("edited_signs")).alias("edited_fingerprint"),
+        likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
     )
 
 

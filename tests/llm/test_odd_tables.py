@@ -145,7 +145,8 @@ def test_near_classes_of_spots(spark):
                 own[at] = rnd.choice(words)
             texts.append(" ".join(own))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r.doc_id: r.near_class for r in spotsigs.op3(docs).collect()}
+    signed = docs.select("doc_id", spotsigs.signatures(docs.text).alias("signs")).selectExpr("*", "xxhash64(signs) k")
+    got = {r.doc_id: r.near_class for r in signed.join(spotsigs.near_classes(signed.drop("k")), "k").collect()}
     members, pairs = spotsigs.near_pairs(docs)
     of = {r.doc_id: r["class"] for r in members.collect()}
     root = {c: c for c in of.values()}
