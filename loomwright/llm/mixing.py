@@ -24,9 +24,10 @@ these four are replaced by the results.
 from __future__ import annotations
 
 import heapq
+import json
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
@@ -83,6 +84,11 @@ def period(weights: dict[str, int]) -> dict[str, list[int]]:
     return schedule(weights)[0]
 
 
+def _rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table from the driver, by functions only."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 def _plan(sizes: DataFrame, weights: dict[str, int], other: int, block_rows: int) -> tuple[DataFrame, int, int]:
     """(s, n, slots) of every source; the period; the first slot that a source leaves empty."""
     spark, named = sizes.sparkSession, sorted(weights)
@@ -92,14 +98,15 @@ def _plan(sizes: DataFrame, weights: dict[str, int], other: int, block_rows: int
     rest = sizes.filter(~F.col("s").isin(named)) if named else sizes
     counts = rest.agg(F.count(F.lit(1)), *[F.count_if(F.col("s") < s) for s in own]).first()
     slots, rounds, total = schedule(own, other, counts[0], dict(zip(own, counts[1:])))
-    plan = spark.createDataFrame([(s, n, slots[s]) for s, n in own.items()], "s string, n bigint, slots array<bigint>")
+    plan = _rows(spark, [{"s": s, "n": n, "slots": slots[s]} for s, n in own.items()], "s:string,n:bigint,slots:array<bigint>")
     # ranks of the others: sorted by ranges, counted a range; one row a range comes before
     ranged = stored(rest.select("s").repartitionByRange(partitions(sizes), "s").select("s", F.spark_partition_id().alias("part")), "source-ranges")
     ahead = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
     ahead = ahead.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     rank = F.col("ahead") + F.row_number().over(Window.partitionBy("part").orderBy("s")) - 1
     ranked = ranged.join(ahead, "part").select("s", rank.alias("rank"))
-    runs = spark.createDataFrame([(rounds,)], "rounds array<array<struct<rank:bigint,slot:bigint>>>")  # one row
+    runs = [{"rounds": [[{"rank": r, "slot": t} for r, t in own] for own in rounds]}]
+    runs = _rows(spark, runs, "rounds:array<array<struct<rank:bigint,slot:bigint>>>")  # one row
     last = F.transform("rounds", lambda own: F.element_at(F.filter(own, lambda x: x["rank"] <= F.col("rank")), -1))
     others = ranked.crossJoin(F.broadcast(runs)).select("s", F.lit(other).cast("bigint").alias("n"), F.transform(last, lambda x: x["slot"] + F.col("rank") - x["rank"]).alias("slots"))
     plan = stored(plan.unionByName(others), "schedule")
