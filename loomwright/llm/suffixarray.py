@@ -610,7 +610,6 @@ def spans(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFram
         return keyed.join(spots, "_rid").select("text", "spots").mapInArrow(partial(_cut_out, shape=shape), _CONTEXT_SQL)
 
     dealt = contexts("left_anti").select("h", "cx", "left", "context").repartition(width, "h").sortWithinPartitions("h")
-    # no name is kept for what is only written: its shuffle files go with the next ``settled``
     covered = stored(dealt.mapInArrow(partial(_gathered, shape=shape), _COVERED), "repeats")
     settled(spark)
     if hot.limit(1).count():
