@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
 from ..functions.text import lines, rounded, tokens
+from ..functions.workers import ship
+from . import pairs
 
 THRESHOLD = 10
 
@@ -21,51 +24,63 @@ def marginals(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-#: Terms that may be sent to every executor; beyond it lines are put together again by a shuffle.
-SENT_TERMS = 100_000
+#: Terms that may be sent to every executor, as bytes (about 12 a term); beyond it lines are put together again by a shuffle.
+SENT_TERMS = 2_000_000
 
 
 def frequent_terms(df: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, bool]:
-    """(term) at the threshold, and whether they are few enough to be sent to every executor."""
-    some = stored(df.filter(F.col("df") >= threshold).select("term"), "frequent")
+    """(term, df) at the threshold, and whether they are few enough to be sent to every executor."""
+    some = stored(df.filter(F.col("df") >= threshold).select("term", "df"), "frequent")
     return some, some.count() <= SENT_TERMS
 
 
+def _frequent_pairs(sets: DataFrame, threshold: int, df: DataFrame | None = None) -> tuple[DataFrame, object]:
+    """(a, b, c_xy) of the terms' numbers, and the terms as they were sent; or (x, y, c_xy) of the terms, and None."""
+    frequent, few = frequent_terms(marginals(sets) if df is None else df, threshold)
+    if few:
+        ship(sets.sparkSession)
+        table = frequent.toArrow().sort_by([("df", "descending"), ("term", "ascending")])  # at most SENT_TERMS, counted above
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        sent = sets.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        return pairs.frequent_pairs(stored(pairs.encoded(sets, sent), "lines"), table.column("df").to_numpy(), threshold), sent
+    kept = sets.select("id", F.explode("terms").alias("term")).join(frequent.select("term"), "term")
+    kept = kept.groupBy("id").agg(F.sort_array(F.collect_list("term")).alias("t"))
+    both = kept.select("t", F.posexplode("t").alias("i", "x")).select("x", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("y"))
+    counted = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c_xy"))
+    return counted.filter(F.col("c_xy") >= threshold), None
+
+
 def pair_counts(sets: DataFrame, threshold: int = THRESHOLD, df: DataFrame | None = None) -> DataFrame:
     """(x, y, c_xy) with x < y and at least ``threshold`` common units.
 
     A pair is no more frequent than its rarer term, so pairs with a term below the threshold leave
-    where they are made; marginals are those of all terms. The pairs of a line stream into the
-    partial counts one term at a time: a line is never held as an array of its pairs.
+    where they are made; marginals are those of all terms. ``pairs`` counts the rest as numbers.
     """
-    frequent, few = frequent_terms(marginals(sets) if df is None else df, threshold)
-    if few:
-        # at most SENT_TERMS, counted above
-        known = [F.broadcast(frequent.withColumnRenamed("term", c)) for c in ("x", "y")]
-        lines_ = sets.select(F.sort_array("terms").alias("t"))
-        left = lines_.select("t", F.posexplode("t").alias("i", "x")).join(known[0], "x", "left_semi")
-        pairs = left.select("x", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("y")).join(known[1], "y", "left_semi")
-    else:
-        kept = sets.select("id", F.explode("terms").alias("term")).join(frequent, "term")
-        kept = kept.groupBy("id").agg(F.sort_array(F.collect_list("term")).alias("t"))
-        pairs = kept.select("t", F.posexplode("t").alias("i", "x")).select("x", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("y"))
-    counted = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c_xy"))
-    return counted.filter(F.col("c_xy") >= threshold)
+    found, sent = _frequent_pairs(sets, threshold, df)
+    return found if sent is None else pairs.named(found, sent).select("x", "y", "c_xy")
+
+
+def _with_marginals(sets: DataFrame, threshold: int) -> DataFrame:
+    """(x, y, c_xy, c_x, c_y) for pairs at the threshold."""
+    df = stored(marginals(sets), "marginals")
+    found, sent = _frequent_pairs(sets, threshold, df)
+    if sent is not None:
+        return pairs.named(found, sent)
+    found = found.join(df.select(F.col("term").alias("x"), F.col("df").alias("c_x")), "x")
+    return found.join(df.select(F.col("term").alias("y"), F.col("df").alias("c_y")), "y")
 
 
 def conditional(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(x, y, p_y_given_x) for pairs at the threshold."""
-    df = stored(marginals(sets), "marginals")
-    joined = pair_counts(sets, threshold, df).join(df.select(F.col("term").alias("x"), F.col("df").alias("c_x")), "x")
+    joined = _with_marginals(sets, threshold)
     return joined.select("x", "y", rounded(F.col("c_xy") / F.col("c_x")).alias("p_y_given_x"))
 
 
 def scores(sets: DataFrame, threshold: int = THRESHOLD, total: int | None = None) -> DataFrame:
     """(x, y, c_xy, pmi): ln of the joint share over the product of the shares; total = units."""
-    df = stored(marginals(sets), "marginals")
-    counted = pair_counts(sets, threshold, df)
-    counted = counted.join(df.select(F.col("term").alias("x"), F.col("df").alias("c_x")), "x")
-    counted = counted.join(df.select(F.col("term").alias("y"), F.col("df").alias("c_y")), "y")
+    counted = _with_marginals(sets, threshold)
     if total is None:  # one row
         counted = counted.crossJoin(F.broadcast(sets.agg(F.count(F.lit(1)).alias("n_units"))))
     else:
@@ -104,4 +119,4 @@ def pmi_top_for_term(sets: DataFrame, term: str, n: int = 3, threshold: int = TH
 
 
 def pmi_pair_total(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    return pair_counts(sets, threshold).agg(F.count(F.lit(1)).alias("n_pairs"))
+    return _frequent_pairs(sets, threshold)[0].agg(F.count(F.lit(1)).alias("n_pairs"))
