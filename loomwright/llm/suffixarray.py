@@ -285,16 +285,17 @@ def verified(raw: np.ndarray, left: np.ndarray, right: np.ndarray, row: np.ndarr
 
 def found_twice(raw: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, row: np.ndarray, before: np.ndarray, after: np.ndarray, shape: Shape):
     """The strings, of those given, that two contexts of a group have at the same place: met by hash, decided by their bytes."""
-    met, row = np.unique(row, return_inverse=True)
+    new = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]  # strings of a context stand together
+    met, row = row[new], np.cumsum(new) - 1
     raw, left, right = raw[met], left[met], right[met]
     key = mixed(hashes_of(prefix_sums(raw), row, before, after, shape) + group[met][row]) + mixed((before << 16 | after).astype(np.uint64))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     row, before, after, key = row[order], before[order], after[order], key[order]
     lead = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
     begins = np.flatnonzero(lead)
     sizes = np.diff(np.append(begins, len(row)))
     lone = np.repeat(sizes == 1, sizes)
-    first = np.repeat(row[begins], sizes)
+    first = np.repeat(np.minimum.reduceat(row, begins) if len(row) else row, sizes)  # the least: few pairs to compare
     other = row != first
     same = ~other
     same[other] = verified(raw, left, right, row[other], before[other], after[other], first[other], shape)
@@ -351,24 +352,23 @@ def passages(raw: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.nda
     a, b, back, on = a[long], b[long], back[long], on[long]
     out = []
     for k in range(0, len(a), 1024):
-        x, y, low, high = a[k : k + 1024], b[k : k + 1024], shape.left - back[k : k + 1024], shape.left + on[k : k + 1024]
-        column = np.arange(shape.width + 1)
+        x, y, low, high = a[k : k + 1024], b[k : k + 1024], (shape.left - back[k : k + 1024]).astype(np.int16), (shape.left + on[k : k + 1024]).astype(np.int16)
+        column = np.arange(shape.width + 1, dtype=np.int16)
         # -1: not shared, 0: white space, 1: in a word
         kind = np.zeros((len(x), shape.width + 2), np.int8)
-        kind[:, 1:-1] = NONSPACE[raw[x]]
         shared = (column[None, :-1] >= low[:, None]) & (column[None, :-1] < high[:, None])
-        kind[:, 1:-1][~shared] = -1
+        kind[:, 1:-1] = np.where(shared, NONSPACE[raw[x]], np.int8(-1))
         # the texts' own ends are ends of words
         at = np.arange(len(x))
         begin, end = (shape.left - low == left[x]) & (left[x] == left[y]) & (left[x] < shape.left), (high - shape.left == right[x]) & (right[x] == right[y]) & (right[x] < shape.length)
         kind[:, 0] = kind[:, -1] = -1
         kind[at[begin], low[begin]] = kind[at[end], high[end] + 1] = 0
         starts, ends = (kind[:, 1:] == 1) & (kind[:, :-1] == 0), (kind[:, :-1] == 1) & (kind[:, 1:] == 0)
-        first, last = np.argmax(starts, axis=1), shape.width - np.argmax(ends[:, ::-1], axis=1)
+        first, last = np.argmax(starts, axis=1).astype(np.int16), (shape.width - np.argmax(ends[:, ::-1], axis=1)).astype(np.int16)
         between = (column >= first[:, None]) & (column <= last[:, None])
         enough = starts.any(1) & ends.any(1) & ((starts & between).sum(1) >= shape.words) & ((ends & between).sum(1) - (ends & (column <= first[:, None])).sum(1) >= shape.words)
         for own in (x, y):
-            out.append((own[enough], shape.left - first[enough], last[enough] - shape.left))
+            out.append((own[enough], shape.left - first[enough].astype(np.int64), last[enough].astype(np.int64) - shape.left))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
@@ -549,15 +549,24 @@ def _cells(batches, shape: Shape, width: int, parent: int | None):
             row, cell = np.nonzero(np.logical_or.reduceat(open_, places, axis=1))
             # all strings of a cell hold these bytes
             first, last = cell * width, np.minimum((cell + 1) * width - 1, shape.left)
-            key = mixed(hashes_of(prefix_sums(laid(contexts, left, shape)), row, first, shape.length - last, shape) + h.view(np.uint64)[row]) + mixed(cell.astype(np.uint64))
+            new = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+            sums = prefix_sums(laid([contexts[k] for k in row[new].tolist()], left[row[new]], shape))  # of contexts with a cell
+            key = mixed(hashes_of(sums, np.cumsum(new) - 1, first, shape.length - last, shape) + h.view(np.uint64)[row]) + mixed(cell.astype(np.uint64))
             columns = [key.view(np.int64), h[row], cx[row], copy[row], cell.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h", "cx", "copy", "cell"])
 
 
+def _in_order(contexts: DataFrame) -> DataFrame:
+    """Contexts in the order of suffixes from the anchor on (ties: of the bytes before it, read backwards), over ranges."""
+    order = {"h": F.col("h"), "ahead": F.expr("substring(context, left + 1)"), "behind": F.expr("reverse(hex(substring(context, 1, left)))")}
+    dealt = contexts.repartitionByRange(partitions(contexts), *order.values())
+    # as columns: a sort makes what is an expression anew for each comparison
+    return dealt.withColumns({c: order[c] for c in ("ahead", "behind")}).sortWithinPartitions(*order).select(*_CONTEXT.names)
+
+
 def _hot(contexts: DataFrame, shape: Shape) -> DataFrame:
     """What is repeated (h, cx, ab) of contexts of hot anchors, none of which is one task."""
-    spark, order = contexts.sparkSession, ["h", F.expr("substring(context, left + 1)"), F.expr("reverse(hex(substring(context, 1, left)))")]
-    ordered = contexts.repartitionByRange(partitions(contexts), *order).sortWithinPartitions(*order)
+    spark, ordered = contexts.sparkSession, _in_order(contexts)
     ordered = stored(ordered.mapInArrow(partial(_neighbours, shape=shape), _ORDERED), "hot-order")
     settled(spark)
     own, parent, steps = ordered.select(*_CONTEXT.names, "shared"), None, []
@@ -565,7 +574,7 @@ def _hot(contexts: DataFrame, shape: Shape) -> DataFrame:
         cells = own.mapInArrow(partial(_cells, shape=shape, width=width, parent=parent), "key bigint, h bigint, cx bigint, copy tinyint, cell int")
         cells = stored(cells, f"hot-cells-{width}")
         twice = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        live = stored(cells.join(twice, "key").groupBy("h", "cx", "copy").agg(F.collect_list("cell").alias("live")), f"hot-live-{width}")
+        live = stored(cells.join(twice, "key").groupBy("h", "cx", "copy").agg(F.collect_list("cell").alias("live")), f"hot-live-{width}", lookup=True)
         discard(cells)
         settled(spark)
         own, parent = ordered.join(live, ["h", "cx", "copy"]).select(*_CONTEXT.names, "shared", "live"), width
@@ -595,7 +604,7 @@ def spans(docs: DataFrame, group: int = GROUP, shape: Shape = SHAPE) -> DataFram
     varied = stored(varied.filter("least <> most").select("h", "m"), "varied")
     place = F.struct("rid", "pos")
     each = found.groupBy("h", "cx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("two"))
-    each = stored(each.join(varied, "h", "left").filter("n > 1 or m > 1"), "contexts")
+    each = stored(each.join(varied, "h", "left").filter("n > 1 or m > 1"), "contexts", lookup=True)
     discard(varied)
     settled(spark)
     hot = each.filter(f"m > {group}").groupBy("h").agg(F.count(F.lit(1)).alias("k"))
