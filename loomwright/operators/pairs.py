@@ -23,6 +23,8 @@ from ..functions.storage import discard, stored
 MOST_PAIRS, LEAST_PAIRS = 64_000_000, 1_000_000
 #: Ranges at least, if they do not become too small; what a task makes of pairs at once.
 RANGES, CHUNK = 48, 2_000_000
+#: Pairs that are written out together.
+STEP = 250_000
 #: Occurrences of terms in a bucket, of which ranges are made.
 BUCKET = 30_000
 #: Cells of a range that is counted in an array of all its possible pairs.
@@ -145,11 +147,14 @@ def _pieces(lines: DataFrame, bounds: np.ndarray) -> DataFrame:
 def _codes(ids: np.ndarray, at: np.ndarray, before: np.ndarray, low: int, high: int) -> np.ndarray:
     """(a - low) * high + b for the numbers a at ``at`` and the ``before`` numbers b in front of each."""
     kind = np.uint32 if (int(ids[at].max()) + 1 - low) * high < 2**32 else np.int64
-    ends = np.cumsum(before)
-    from_ = np.repeat(at - ends, before)
-    from_ += np.arange(len(from_))
-    out = np.repeat(((ids[at].astype(np.int64) - low) * high).astype(kind), before)
-    out += ids[from_].astype(kind)
+    out, done = np.empty(int(before.sum()), kind), 0
+    for s in _in_chunks(before, STEP):  # what it takes besides ``out`` stays small
+        from_ = np.repeat(at[s] - np.cumsum(before[s]), before[s])
+        from_ += np.arange(len(from_))
+        part = out[done : done + len(from_)]
+        part[:] = np.repeat(((ids[at[s]].astype(np.int64) - low) * high).astype(kind), before[s])
+        part += ids[from_].astype(kind)
+        done += len(from_)
     return out
 
 

@@ -1,9 +1,11 @@
 """Frequent pairs: right in every way of counting, and no shuffle files of the size of the pairs."""
 
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from loomwright.operators import pairs, pmi
@@ -79,3 +81,17 @@ def test_pairs_are_not_shuffled(spark, query):
     QUERIES[query](sets, 4).write.format("noop").mode("overwrite").save()
     sets.unpersist()
     assert written(spark) - before < 40 * 250 * 100
+
+
+def test_codes_take_little_besides_their_own():
+    """Twice the codes at most, while they are made."""
+    ids = np.tile(np.arange(2000, dtype=np.int32), 2)
+    at, before = np.arange(1, 4000), np.tile(np.arange(2000), 2)[1:]
+    at, before = at[before > 0], before[before > 0]
+    tracemalloc.start()
+    code = pairs._codes(ids, at, before, 0, 2000)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    a, b = np.nonzero(np.tri(2000, k=-1, dtype=bool))
+    assert (code == np.tile(a * 2000 + b, 2)).all()
+    assert most < 2 * code.nbytes
